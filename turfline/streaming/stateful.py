@@ -1,0 +1,160 @@
+"""Per-frame stateful operators over streams and, by the same code, over tables.
+
+State is keyed by clip. Frames of a clip arrive in order; a frame not after the last one seen is late and is
+dropped. The operators give what their batch forms give, row by row as input comes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from turfline import config as C
+
+
+class Kalman:
+    """Constant velocity in the image; the camera's motion moves state and covariance along."""
+
+    SIZE = 4 + 16 + 1
+
+    def __init__(self, cfg: C.Ball = C.Ball()) -> None:
+        self.cfg, self.x, self.p, self.coast = cfg, np.zeros(4), np.eye(4), -1
+        self.f = np.eye(4)
+        self.f[0, 2] = self.f[1, 3] = 1.0
+        self.q = np.diag([cfg.q_pos, cfg.q_pos, cfg.q_vel, cfg.q_vel])
+        self.h = np.eye(2, 4)
+        self.r = np.eye(2) * cfg.r_px**2
+
+    @property
+    def alive(self) -> bool:
+        return self.coast >= 0
+
+    def start(self, xy: np.ndarray) -> None:
+        spread = (4.0 * self.cfg.r_px) ** 2
+        self.x, self.p, self.coast = np.array([*xy, 0.0, 0.0]), np.diag([self.cfg.r_px**2, self.cfg.r_px**2, spread, spread]), 0
+
+    def move(self, affine: np.ndarray) -> None:
+        linear, t = affine[:, :2], affine[:, 2]
+        block = np.kron(np.eye(2), linear)
+        self.x = block @ self.x + np.array([*t, 0.0, 0.0])
+        self.p = block @ self.p @ block.T
+
+    def predict(self) -> None:
+        self.x, self.p = self.f @ self.x, self.f @ self.p @ self.f.T + self.q
+        self.coast += 1
+
+    def gate(self, xy: np.ndarray) -> float:
+        d = xy - self.h @ self.x
+        return float(d @ np.linalg.solve(self.h @ self.p @ self.h.T + self.r, d))
+
+    def update(self, xy: np.ndarray) -> None:
+        s = self.h @ self.p @ self.h.T + self.r
+        k = np.linalg.solve(s, self.h @ self.p).T
+        self.x = self.x + k @ (xy - self.h @ self.x)
+        p = (np.eye(4) - k @ self.h) @ self.p
+        self.p, self.coast = (p + p.T) / 2, 0
+
+    def pack(self) -> list[float]:
+        return [*self.x, *self.p.ravel(), float(self.coast)]
+
+    def unpack(self, values: list[float]) -> None:
+        v = np.asarray(values, float)
+        self.x, self.p, self.coast = v[:4].copy(), v[4:20].reshape(4, 4).copy(), int(v[20])
+
+
+def observe(filter_: Kalman, candidates: list[tuple[float, float, float]], affine: np.ndarray | None) -> tuple[np.ndarray | None, int]:
+    """One frame: move, predict, take the nearest candidate inside the gates, or start anew on the most confident one
+    when nothing is followed any more. The followed position (or None) and the chosen candidate (or -1)."""
+    cfg = filter_.cfg
+    if filter_.alive:
+        if affine is not None:
+            filter_.move(affine)
+        filter_.predict()
+        reach = cfg.max_speed_px * (filter_.coast + 1)
+        best, at = np.inf, -1
+        for k, (x, y, _) in enumerate(candidates):
+            xy = np.array([x, y])
+            d = filter_.gate(xy)
+            if d < cfg.gate_chi2 and np.hypot(*(xy - filter_.x[:2])) <= reach and d < best:
+                best, at = d, k
+        if at >= 0:
+            filter_.update(np.array(candidates[at][:2]))
+            return filter_.x[:2].copy(), at
+        if filter_.coast <= cfg.roi_max_coast:
+            return filter_.x[:2].copy(), -1
+    if candidates:
+        at = max(range(len(candidates)), key=lambda k: (candidates[k][2], -k))
+        filter_.start(np.array(candidates[at][:2]))
+        return filter_.x[:2].copy(), at
+    filter_.coast = -1
+    return None, -1
+
+
+FOLLOWED = "clip string, frame long, x double, y double, cand_ix int, coast int"
+FOLLOW_STATE = "last long, packed array<double>"
+
+
+def _follow(clip: str, pdf: pd.DataFrame, last: int, packed: list[float], cfg: C.Ball) -> tuple[pd.DataFrame, int, list[float]]:
+    kalman = Kalman(cfg)
+    kalman.unpack(packed)
+    rows = []
+    for frame, part in pdf[pdf["frame"] > last].sort_values(["frame", "cand_ix"]).groupby("frame", sort=True):
+        gmc = part["gmc"].iloc[0]
+        affine = None if gmc is None else np.asarray(gmc, float).reshape(2, 3)
+        seen = part[part["x"].notna()]
+        xy, at = observe(kalman, list(zip(seen["x"], seen["y"], seen["confidence"], strict=True)), affine)
+        rows.append((clip, int(frame), None if xy is None else float(xy[0]), None if xy is None else float(xy[1]), int(seen["cand_ix"].iloc[at]) if at >= 0 else -1, kalman.coast))
+        last = int(frame)
+    return pd.DataFrame(rows, columns=["clip", "frame", "x", "y", "cand_ix", "coast"]), last, kalman.pack()
+
+
+def follow_ball(candidates: DataFrame, cfg: C.Ball = C.Ball()) -> DataFrame:
+    """clip, frame, x, y, cand_ix, coast. `candidates` has clip, frame, cand_ix, x, y, confidence, gmc; a frame without
+    candidates is a row without a position. A stream keeps the filter as state; a table is one group a clip."""
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, packed = state.get if state.exists else (-1, Kalman(cfg).pack())
+        out, last, packed = _follow(key[0], pd.concat(list(pdfs)), last, list(packed), cfg)
+        state.update((last, packed))
+        yield out
+
+    if candidates.isStreaming:
+        return candidates.groupBy("clip").applyInPandasWithState(step, FOLLOWED, FOLLOW_STATE, "append", GroupStateTimeout.NoTimeout)
+    return candidates.groupBy("clip").applyInPandas(lambda key, pdf: _follow(key[0], pdf, -1, Kalman(cfg).pack(), cfg)[0], FOLLOWED)
+
+
+HELD = "clip string, frame long, state string, track_id long"
+HELD_STATE = "last long, state string, holder long, candidate long, count long, missing long"
+
+
+def possession_stream(touches: DataFrame, lost_frames: int, cfg: C.Possession = C.Possession()) -> DataFrame:
+    """clip, frame, state, track_id. `touches` has clip, frame, touch (-1 missing, -2 nobody, else a track) and side."""
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, held, holder, candidate, count, missing = state.get if state.exists else (-1, "unknown", -1, -3, 0, 0)
+        rows = []
+        pdf = pd.concat(list(pdfs)).sort_values("frame")
+        for r in pdf[pdf["frame"] > last].itertuples():
+            missing = missing + 1 if r.touch == -1 else 0
+            count = count + 1 if r.touch == candidate else 1
+            candidate = int(r.touch)
+            if candidate >= 0 and count >= cfg.acquire_frames:
+                held, holder = r.side, candidate
+            elif missing > lost_frames:
+                held, holder = "unknown", -1
+            last = int(r.frame)
+            rows.append((key[0], last, held, holder))
+        state.update((last, held, holder, candidate, count, missing))
+        yield pd.DataFrame(rows, columns=["clip", "frame", "state", "track_id"])
+
+    return touches.groupBy("clip").applyInPandasWithState(step, HELD, HELD_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def vote_counts(votes: DataFrame) -> DataFrame:
+    """clip, track_id, target_ix, n: running counts, in update mode over a stream."""
+    return votes.groupBy("clip", "track_id", "target_ix").agg(F.count(F.lit(1)).alias("n"))
