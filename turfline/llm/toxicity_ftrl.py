@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from .common import WordHasher, fold, texts_as_bytes
 
 BITS = 22
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.5
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 0.5
 #: Toxic rows are few; their gradients count so many times.
 POSITIVE_WEIGHT = 3.0
-EPOCHS = 4
-#: Bound of the training sample. L1 holds for a full one and falls with the root of a smaller one.
+#: Bound of the training sample, and how often it is gone through: small samples up to EPOCHS times, a full one four times.
 MAX_TRAINING = 16_000
+EPOCHS = 20
 THRESHOLD = 0.5
 
 #: Lower-cased letter or digit of each byte; 32 for what separates words.
@@ -58,16 +58,16 @@ def _features(text: bytes) -> np.ndarray:
     return (np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.uint32)
 
 
-def train(examples: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+def train(examples: list[tuple[np.ndarray, int]], epochs: int | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Buckets and weights that are not zero, and the bias."""
-    l1 = L1 * min(1.0, len(examples) / MAX_TRAINING) ** 0.5
+    epochs = epochs or min(EPOCHS, max(4, 4 * MAX_TRAINING // max(1, len(examples))))
     z = np.zeros((1 << BITS) + 1)
     n = np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
 
     def weights(at: np.ndarray) -> np.ndarray:
-        w = -(z[at] - np.sign(z[at]) * l1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
-        return np.where(np.abs(z[at]) <= l1, 0.0, w)
+        w = -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
+        return np.where(np.abs(z[at]) <= L1, 0.0, w)
 
     for _ in range(epochs):
         for at, y in examples:
@@ -78,7 +78,7 @@ def train(examples: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - sigma * w
             n[at] += g * g
-    at = np.flatnonzero(np.abs(z[:-1]) > l1)
+    at = np.flatnonzero(np.abs(z[:-1]) > L1)
     return at.astype(np.uint32), weights(at), float(weights(np.array([bias]))[0])
 
 
