@@ -29,6 +29,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": STATE_PROVIDER,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # many small stores would each reserve megabytes of disk ahead
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
