@@ -107,6 +107,45 @@ from wholes left join known on canonical_sha256 = digest left join hits using (d
 """
 
 
+def _op8_sql() -> str:
+    scan = secret_scan
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    # a bare key is a run of the wider class that is forty characters of the narrower one
+    kinds = ((scan.ASSIGN, 2), (scan.ACCESS, 0), (scan.HEX, 0), ("[A-Za-z0-9+/=_.-]+", 0), (scan.ENDPOINT, 0))
+    raw = " union all ".join(
+        f"select doc_id, {kind} as kind, unnest(range(0, len(ms))) as i, unnest(ms) as m, unnest(ks) as k, unnest(list_slice(gs, 1, len(ms))) as g from ("
+        f"select doc_id, regexp_extract_all(text, {quoted(p)}) as ms, regexp_extract_all(text, {quoted(p)}, {group}) as ks, string_split_regex(text, {quoted(p)}) as gs from docs) x{kind}"
+        for kind, (p, group) in enumerate(kinds)
+    )
+    roles = " ".join(f"when {k} then '{scan.PART[name]}'" for k, name in enumerate(scan.KINDS))
+    names = " ".join(f"when {k} then '{name}'" for k, name in enumerate(scan.KINDS))
+    return f"""
+with docs as (select doc_id, coalesce(text, '') as text from documents),
+raw as ({raw}),
+placed as (select doc_id, kind, k, m, cast(sum(length(g) + length(m)) over (partition by doc_id, kind order by i) as bigint) as e from raw),
+parts as (
+  select doc_id, kind, e - length(m) as s, e, case kind when 0 then length(k) < {scan.LEAST_ASSIGN} when 1 then length(k) < {scan.LEAST_ACCESS} when 2 then false else true end as weak,
+    case kind {roles} end as role
+  from placed
+  where case kind when 0 then length(k) >= {scan.LEAST_WEAK_ASSIGN} when 1 then length(k) >= {scan.LEAST_WEAK_ACCESS} when 3 then regexp_full_match(m, '[A-Za-z0-9+/]{{40}}') else true end
+),
+linked as (
+  select distinct w.doc_id, w.kind, w.s, w.e from parts w join parts o on w.doc_id = o.doc_id and w.role <> o.role and o.s < w.e + {scan.SCOPE} and o.e > w.s - {scan.SCOPE} where w.weak
+),
+base as (select doc_id, kind, s, e from parts where not weak),
+listed as (
+  select doc_id, string_agg(concat(case kind {names} end, ':', s, ':', e), ',' order by s, kind, e) as spans from (select * from base union all select * from linked) u group by doc_id
+),
+based as (
+  select doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
+    string_agg(concat(case kind {names} end, ':', s, ':', e), ',' order by s, kind, e) as line
+  from base group by doc_id
+)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(line, '')) as base_sha256, coalesce(spans, '') as spans
+from docs d left join based b on d.doc_id = b.doc_id left join listed l on d.doc_id = l.doc_id
+"""
+
+
 OP9_SQL = f"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents
@@ -161,4 +200,4 @@ select r.doc_id, r.size, r.source_size, r.target,
 from ranked r left join chosen c on r.doc_id = c.doc_id
 """
 
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_license_scan": _op7_sql(), "op9_source_mix": OP9_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_license_scan": _op7_sql(), "op8_secret_scan": _op8_sql(), "op9_source_mix": OP9_SQL}

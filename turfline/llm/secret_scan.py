@@ -2,8 +2,8 @@
 
 Base spans are the matches of the patterns of each kind. Positions are code points, end exclusive; they come
 from the lengths of the pieces between the matches. Weaker candidates (bare forty-character keys, short
-assignments, short access identifiers, endpoints) count only when a complementary part lies within SCOPE
-characters: candidates and parts are interval-joined on the cells of a grid of that width, each cell's parts
+assignments, short access identifiers, endpoints) count only when a part of another role, weak or not, lies within
+SCOPE characters: candidates and parts are interval-joined on the cells of a grid of that width, each cell's parts
 being folded to one row of presence and extent first, so that no pairs are formed.
 
 Null texts count as empty and have no spans. Repeated rows give repeated results. An empty table gives an empty
@@ -89,8 +89,8 @@ def linked_candidates(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     roles = F.array(*[F.lit(PART[k]) for k in KINDS])
     one = one.withColumn("role", F.element_at(roles, F.col("kind") + 1))
     cells = one.withColumn("cell", F.explode(F.sequence((F.col("start") / scope).cast("int"), ((F.col("end") - 1) / scope).cast("int"))))
-    # strong parts, and endpoints, which complement a secret though weak themselves
-    extent = cells.filter("not weak or role = 'endpoint'").groupBy("list", "cell", "role").agg(F.min("start").alias("first"), F.max("end").alias("last"))
+    # parts that are weak themselves complement each other too
+    extent = cells.groupBy("list", "cell", "role").agg(F.min("start").alias("first"), F.max("end").alias("last"))
     wanted = one.filter("weak").withColumn("cell", F.explode(F.sequence(((F.col("start") - scope) / scope).cast("int") - 1, ((F.col("end") + scope) / scope).cast("int"))))
     wanted = wanted.select("list", "cell", "start", "end", "kind", F.col("role").alias("own"))
     near = (F.col("first") < F.col("end") + scope) & (F.col("last") > F.col("start") - scope)
