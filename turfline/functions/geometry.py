@@ -29,8 +29,9 @@ def foot(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 
 def mat_mul(a: Column, b: Column) -> Column:
-    """Product of two 3x3 matrices."""
-    return F.array(*[a[3 * i] * b[j] + a[3 * i + 1] * b[3 + j] + a[3 * i + 2] * b[6 + j] for i in range(3) for j in range(3)])
+    """Product of two 3x3 matrices; null if either is."""
+    product = F.array(*[a[3 * i] * b[j] + a[3 * i + 1] * b[3 + j] + a[3 * i + 2] * b[6 + j] for i in range(3) for j in range(3)])
+    return F.when(a.isNotNull() & b.isNotNull(), product)
 
 
 def det(m: Column) -> Column:

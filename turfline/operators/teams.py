@@ -201,9 +201,28 @@ def resolve_roles(members: DataFrame, cfg: C.TeamID = C.TeamID()) -> DataFrame:
 PALETTE = "clip string, target_ix int, role string, team int, l double, a double, b double, reject_radius double"
 
 
+def _split_outliers(part: pd.DataFrame, radius: float, cfg: C.TeamID) -> list[tuple[str, int, np.ndarray]]:
+    """Role, number and row positions of each colour cluster that counts: keepers by falling score, then all referees."""
+    if part.empty:
+        return []
+    cluster = np.array(average_linkage(part[list(LAB)].to_numpy(float), radius))
+    scored = []
+    for c in sorted(set(cluster.tolist())):
+        rows = part[cluster == c]
+        frames = rows["zone_frames"].sum()
+        zone = float((rows["goal_zone_fraction"] * rows["zone_frames"]).sum() / frames) if frames else 0.0
+        counts = [dict(m) for m in rows["class_counts"]]
+        seen = sum(sum(m.values()) for m in counts)
+        scored.append((zone + (0.5 * sum(m.get(C.GOALKEEPER, 0) for m in counts) / seen if seen else 0.0), c))
+    keepers = [c for s, c in sorted(scored, key=lambda p: -p[0]) if s >= cfg.gk_zone_frac][: cfg.max_goalkeepers]
+    out = [("goalkeeper", k, np.flatnonzero(cluster == c)) for k, c in enumerate(keepers)]
+    rest = np.flatnonzero(~np.isin(cluster, keepers))
+    return [*out, ("referee", -1, rest)] if len(rest) else out
+
+
 def fit_palette(obs: DataFrame, cfg: C.TeamID = C.TeamID()) -> DataFrame:
-    """A clip's palette, outliers first: two kits, a radius from the data, what lies outside split into goalkeepers and
-    referees, outliers nearer a kit than their role dropped, kits fitted anew without them.
+    """A clip's palette, outliers first: two provisional kits and a radius from the data; the kits anew from what lies
+    within it; the rest split into goalkeepers and referees, once more without those nearer a kit than their role.
 
     One small group a clip (a row per track); clips are independent.
     """
@@ -212,50 +231,25 @@ def fit_palette(obs: DataFrame, cfg: C.TeamID = C.TeamID()) -> DataFrame:
         x = pdf[list(LAB)].to_numpy(float)
         if len(x) < 2:
             raise ValueError("a palette needs two tracks with enough samples")
-        for _ in range(2):
-            centre, _ = kmeans2(x)
-            d = np.linalg.norm(x[:, None] - centre[None], axis=2).min(axis=1)
-            mid = float(np.median(d))
-            radius = max(cfg.min_reject_radius, mid + cfg.reject_k_mad * float(np.median(np.abs(d - mid))))
-            inside = d <= radius
-            if inside.sum() < 2:
-                break
-            centre, label = kmeans2(x[inside])
-            d = np.linalg.norm(x[:, None] - centre[None], axis=2).min(axis=1)
-            out = np.flatnonzero(d > radius)
-        spread = silhouette_of(x[inside], label)
-        if spread < cfg.min_silhouette:
+        to_nearest = lambda p, c: np.linalg.norm(p[:, None] - c[None], axis=2).min(axis=1)
+        d = to_nearest(x, kmeans2(x)[0])
+        mid = float(np.median(d))
+        radius = max(cfg.min_reject_radius, mid + cfg.reject_k_mad * float(np.median(np.abs(d - mid))))
+        base = x[d <= radius] if (d <= radius).sum() >= 2 else x
+        kits, label = kmeans2(base)
+        if 0 < label.sum() < len(label) and (spread := silhouette_of(base, label)) < cfg.min_silhouette:
             raise ValueError(f"the kits do not separate: silhouette {spread:.2f}")
-        order = canonical_order(centre)
-        rows = [("team_a" if k == 0 else "team_b", k, centre[c]) for k, c in enumerate(order)]
-        if len(out):
-            cluster = np.array(average_linkage(x[out], radius))
-            scored = []
-            for c in sorted(set(cluster)):
-                part = pdf.iloc[out[cluster == c]]
-                w = part.zone_frames.sum()
-                geometric = float((part.goal_zone_fraction * part.zone_frames).sum() / w) if w else 0.0
-                counts = [dict(m) for m in part.class_counts]
-                seen = sum(sum(m.values()) for m in counts)
-                prior = sum(m.get(C.GOALKEEPER, 0) for m in counts) / seen if seen else 0.0
-                scored.append((geometric + 0.5 * prior, c))
-            keepers = [c for s, c in sorted(scored, key=lambda p: -p[0]) if s >= cfg.gk_zone_frac][: cfg.max_goalkeepers]
-            role_of = {c: x[out[cluster == c]].mean(axis=0) for c in keepers}
-            rest = np.flatnonzero(~np.isin(cluster, keepers))
-            referee = x[out[rest]].mean(axis=0) if len(rest) else None
-
-            def strays(i: int) -> bool:
-                own = role_of.get(cluster[i], referee)
-                return np.linalg.norm(x[out[i]] - centre, axis=1).min() < np.linalg.norm(x[out[i]] - own)
-
-            firm = np.array([not strays(i) for i in range(len(out))])
-            for k, c in enumerate(keepers):
-                part = x[out[firm & (cluster == c)]]
-                if len(part):
-                    rows.append(("goalkeeper", k, part.mean(axis=0)))
-            part = x[out[firm & ~np.isin(cluster, keepers)]]
-            if len(part):
-                rows.append(("referee", -1, part.mean(axis=0)))
+        outside = pdf[d > radius]
+        roles = _split_outliers(outside, radius, cfg)
+        far = x[d > radius]
+        firm = np.zeros(len(far), bool)
+        for _, _, at in roles:
+            firm[at] = np.linalg.norm(far[at] - far[at].mean(axis=0), axis=1) <= to_nearest(far[at], kits)
+        if not firm.all():
+            outside, far = outside[firm], far[firm]
+            roles = _split_outliers(outside, radius, cfg)
+        rows = [("team_a" if k == 0 else "team_b", k, kits[c]) for k, c in enumerate(canonical_order(kits))]
+        rows += [(role, k, far[at].mean(axis=0)) for role, k, at in roles]
         return pd.DataFrame([(pdf["clip"].iloc[0], i, role, team, *map(float, lab), radius) for i, (role, team, lab) in enumerate(rows)], columns=["clip", "target_ix", "role", "team", *LAB, "reject_radius"])
 
     return fit_eligible(obs, cfg).groupBy("clip").applyInPandas(fit, PALETTE)

@@ -60,7 +60,7 @@ class Kalman:
         self.p, self.coast = (p + p.T) / 2, 0
 
     def pack(self) -> list[float]:
-        return [*self.x, *self.p.ravel(), float(self.coast)]
+        return [*map(float, self.x), *map(float, self.p.ravel()), float(self.coast)]
 
     def unpack(self, values: list[float]) -> None:
         v = np.asarray(values, float)
