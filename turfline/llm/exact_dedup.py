@@ -136,7 +136,9 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
     Rows are found again by doc_id and digest. Of equal rows with one doc_id any one stays.
     """
-    keys = decisions(docs).groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    # written first: else the rows of a hot digest would stay in the one task that the join has dealt them to
+    found = staged(decisions(docs).select("doc_id", "digest", "kept"), "dedup-found")
+    keys = found.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
     keys = staged(keys.agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")), "dedup-decisions")
     marked = docs.withColumn("_sha", sha256_of(whole_text()))
 
