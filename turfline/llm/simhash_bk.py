@@ -226,6 +226,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tree_n
     least = linked.groupBy("label").agg(F.min("first_id").alias("least_id"))
     linked = linked.join(least, "label").select(F.col("fp").alias("_fp"), "least_id")
     named = distinct.join(linked, distinct["fp"] == linked["_fp"], "left").select(F.col("fp").alias("_fp"), F.coalesce("least_id", "first_id").alias("component_id"))
+    named = staged(named, "simhash-named")  # both sides of the last join are then plain exchanges, whose hot keys can be split
     return slim.join(named, slim["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
 
 
