@@ -39,6 +39,11 @@ class Tracking:
     mask_margin_m: float = 1.0
     mask_margin_referee_m: float = 3.0
     min_conf: float = 0.1
+    track_high_thresh: float = 0.5
+    track_low_thresh: float = 0.1
+    new_track_thresh: float = 0.6
+    match_thresh: float = 0.8
+    track_buffer: int = 30
 
 
 @dataclass(frozen=True)
