@@ -190,6 +190,14 @@ def _warp_matrix(prefix: str) -> Column:
     return F.array(c("cos"), -c("sin"), c("tx"), c("sin"), c("cos"), c("ty"), F.lit(0.0), F.lit(0.0), F.lit(1.0))
 
 
+def _unwarp_matrix(prefix: str) -> Column:
+    """The inverse of a similarity, without the general inverse's many terms."""
+    c = lambda n: F.col(prefix + n)
+    norm = c("cos") * c("cos") + c("sin") * c("sin")
+    a, b = c("cos") / norm, c("sin") / norm
+    return F.array(a, b, -(a * c("tx") + b * c("ty")), -b, a, b * c("tx") - a * c("ty"), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _blend(a: pd.Series, b: pd.Series, weight: pd.Series) -> pd.Series:
     """Mixes two homographies where the control points land in the image, and fits anew; else the nearer one."""
@@ -219,11 +227,10 @@ def fuse(spine: DataFrame, solved: DataFrame, motion: DataFrame, cfg: C.Calibrat
     near = anchor_neighbours(spine, good, cfg)
     w = B.cumulative_warps(spine, motion)
     at = good.join(w, KEY).select("clip", F.col("frame").alias("anchor"), G.mat_mul(F.col("h"), _warp_matrix("")).alias("hw"), "h", "inliers", "reproj_err_px")
-    rows = near.join(w, KEY)
+    rows = near.join(w.select(*KEY, _unwarp_matrix("").alias("inv")), KEY)
     side = lambda name: at.select("clip", F.col("anchor").alias(f"{name}_anchor"), F.col("hw").alias(f"{name}_hw"))
     rows = rows.join(side("prev"), ["clip", "prev_anchor"], "left").join(side("next"), ["clip", "next_anchor"], "left")
-    inv = G.mat_inv(_warp_matrix(""))
-    rows = rows.withColumns({"ha": G.mat_mul(F.col("prev_hw"), inv), "hb": G.mat_mul(F.col("next_hw"), inv)})
+    rows = rows.withColumns({"ha": G.mat_mul(F.col("prev_hw"), F.col("inv")), "hb": G.mat_mul(F.col("next_hw"), F.col("inv"))})
     own = at.select("clip", F.col("anchor").alias("frame"), F.col("h").alias("own"), "inliers", "reproj_err_px")
     rows = rows.join(own, KEY, "left").join(motion.select(*KEY, "gmc"), KEY, "left")
     h = F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("ha").isNotNull() & F.col("hb").isNotNull(), _blend(F.col("ha"), F.col("hb"), F.coalesce("weight", F.lit(0.0)))).otherwise(F.coalesce("ha", "hb"))
@@ -341,7 +348,7 @@ def holdout_errors(points: DataFrame, solved: DataFrame, motion: DataFrame, spin
     fits = fits.withColumn("hw", F.when(F.col("h").isNotNull(), G.mat_mul(F.col("h"), _warp_matrix(""))))
     fits = fits.withColumns({"prev": F.lag("frame").over(order), "next": F.lead("frame").over(order), "hw_prev": F.lag("hw").over(order), "hw_next": F.lead("hw").over(order)})
     held = fits.filter("prev is not null")
-    inv = G.mat_inv(_warp_matrix(""))
+    inv = _unwarp_matrix("")
     held = held.withColumns({"ha": G.mat_mul(F.col("hw_prev"), inv), "hb": G.mat_mul(F.col("hw_next"), inv), "w": (F.col("frame") - F.col("prev")) / (F.coalesce("next", F.col("frame")) - F.col("prev"))})
     h = F.when(F.col("ha").isNotNull() & F.col("hb").isNotNull(), _blend(F.col("ha"), F.col("hb"), F.col("w"))).otherwise(F.coalesce("ha", "hb"))
     held = held.select("clip", F.col("frame"), "prev", "next", h.alias("h"))
