@@ -273,3 +273,24 @@ def test_ball_filter_stream_equals_batch(spark, tmp_path):
         run.awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out")).orderBy("frame").collect()
     assert [tuple(r) for r in out] == [tuple(r) for r in batch]
+
+
+def test_torso_samples(spark):
+    good, grass, dark = (100.0, 120.0, 140.0, 10.0, 200.0), (100.0, 90.0, 150.0, 60.0, 200.0), (5.0, 128.0, 128.0, 0.0, 0.0)
+    edge = (100.0, 120.0, 140.0, 30.0, 200.0)  # the bounds of grass are no grass
+    rows = [("c", 1, 0, *p) for p in (good, edge, grass)] + [("c", 2, 0, *p) for p in (good, dark, grass, grass)]
+    got = {r.track_id: r.l for r in teams.torso_samples(spark.createDataFrame(rows, "clip string, track_id long, seq long, l double, a double, b double, hue double, sat double")).collect()}
+    assert got == {1: 100.0, 2: None}
+
+
+def test_samples_of_short_clips(spark):
+    clips = spark.createDataFrame([("a", 3), ("b", 0), ("c", 100)], "clip string, frame_count long")
+    got = {}
+    for r in video.sample_frames(clips, 8).orderBy("clip", "seq").collect():
+        got.setdefault(r.clip, []).append(r.frame)
+    assert got == {"a": [0, 1, 2], "b": [0], "c": np.linspace(0, 99, 8, dtype=int).tolist()}
+
+
+def test_excluded_points(spark):
+    points = anchor_points(spark).withColumn("exclude", F.when(F.col("pt_ix") == 0, "true").when(F.col("pt_ix") == 1, "false").when(F.col("pt_ix") == 2, ""))
+    assert Q.filter_anchor_points(points, drop_phantom=False).count() == 19

@@ -112,7 +112,7 @@ def filter_anchor_points(points: DataFrame, drop_phantom: bool = True, drop_excl
     if drop_phantom:
         keep = keep & ~F.coalesce((F.col("vertex") - 1).isin(*P.PHANTOM), F.lit(False))
     if drop_excluded:
-        keep = keep & ~F.coalesce(F.length("exclude") > 0, F.lit(False))
+        keep = keep & ~F.coalesce(~F.lower("exclude").isin("", "false", "0"), F.lit(False))
     left = F.count_if("keep").over(Window.partitionBy(*KEY))
     return points.withColumn("keep", keep).withColumn("left", left).filter("keep or left < 4").drop("keep", "left")
 

@@ -12,19 +12,23 @@ from turfline import config as C
 LAB = ("l", "a", "b")
 
 
-def torso_band(height: Column, width: Column, cfg: C.TeamID = C.TeamID()) -> Column:
-    """top, bottom, left, right of the torso within a box; null for boxes too small to sample."""
-    top, bottom = F.floor(height * cfg.torso_top).cast("int"), F.floor(height * cfg.torso_bottom).cast("int")
-    side = (width - width * cfg.torso_width) / 2
-    left, right = F.floor(side).cast("int"), F.floor(width - side).cast("int")
-    fits = (height >= cfg.min_box_h_px) & (bottom - top >= 3) & (right - left >= 3)
+def torso_band(x1: Column, y1: Column, x2: Column, y2: Column, width: int, height: int, cfg: C.TeamID = C.TeamID()) -> Column:
+    """top, bottom, left, right of the torso of a box in an image, rounded half to even and clipped to it; null for
+    boxes too small to sample."""
+    w, h = x2 - x1, y2 - y1
+    low = lambda v: F.greatest(F.lit(0), F.bround(v).cast("int"))
+    high = lambda v, most: F.least(F.lit(most), F.bround(v).cast("int"))
+    half = cfg.torso_width / 2
+    top, bottom = low(y1 + h * cfg.torso_top), high(y1 + h * cfg.torso_bottom, height)
+    left, right = low(x1 + w * (0.5 - half)), high(x1 + w * (0.5 + half), width)
+    fits = (h >= cfg.min_box_h_px) & (bottom - top >= 3) & (right - left >= 3)
     return F.when(fits, F.struct(top.alias("top"), bottom.alias("bottom"), left.alias("left"), right.alias("right")))
 
 
 def torso_samples(pixels: DataFrame, cfg: C.TeamID = C.TeamID()) -> DataFrame:
     """clip, track_id, seq, l, a, b: the median colour of a torso's pixels that are neither grass, shadow nor glare;
     null when too few are left. Pixels carry l, a, b, hue, sat."""
-    grass = F.col("hue").between(cfg.grass_hue_lo, cfg.grass_hue_hi) & (F.col("sat") >= cfg.grass_sat_min)
+    grass = (F.col("hue") > cfg.grass_hue_lo) & (F.col("hue") < cfg.grass_hue_hi) & (F.col("sat") > cfg.grass_sat_min)
     keep = ~grass & F.col("l").between(cfg.shadow_l_min, cfg.highlight_l_max)
     by = pixels.withColumn("keep", keep).groupBy("clip", "track_id", "seq")
     enough = F.avg(F.col("keep").cast("double")) >= cfg.min_kept_fraction

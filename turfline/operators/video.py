@@ -20,9 +20,10 @@ def with_duration(clips: DataFrame) -> DataFrame:
 
 
 def sample_frames(clips: DataFrame, count: int = 8) -> DataFrame:
-    """clip, seq, frame: evenly spread frames from first to last, cut to whole numbers."""
-    rows = clips.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    step = (F.col("frame_count") - 1) / float(max(count - 1, 1))
+    """clip, seq, frame: evenly spread frames from first to last, cut to whole numbers; no more than there are."""
+    rows = clips.withColumn("n", F.least(F.lit(count), F.greatest(F.col("frame_count"), F.lit(1))).cast("int"))
+    rows = rows.withColumn("seq", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    step = (F.greatest(F.col("frame_count"), F.lit(1)) - 1) / F.greatest(F.col("n") - 1, F.lit(1)).cast("double")
     return rows.select("clip", "seq", F.floor(F.col("seq") * step).cast("long").alias("frame"))
 
 

@@ -842,11 +842,14 @@ def kit_colours(v: Views) -> DataFrame:
 
 
 @query("clip frame det_ix:i top:i bottom:i left_:i right_:i", "detections", """
-with d as (select clip, frame, det_ix, y2 - y1 as h, x2 - x1 as w from detections)
-select clip, frame, det_ix, floor(h * 0.2::double) as top, floor(h * 0.5::double) as bottom, floor((w - w * 0.6::double) / 2) as left_, floor(w - (w - w * 0.6::double) / 2) as right_ from d
-where h >= 24 and floor(h * 0.5::double) - floor(h * 0.2::double) >= 3 and floor(w - (w - w * 0.6::double) / 2) - floor((w - w * 0.6::double) / 2) >= 3""")
+with d as (select *, y2 - y1 as h, x2 - x1 as w from detections),
+b as (
+  select clip, frame, det_ix, h, greatest(0, round_even(y1 + h * 0.2::double, 0)) as top, least(90, round_even(y1 + h * 0.5::double, 0)) as bottom,
+    greatest(0, round_even(x1 + w * (0.5::double - 0.3::double), 0)) as left_, least(480, round_even(x1 + w * (0.5::double + 0.3::double), 0)) as right_ from d
+)
+select * from b where h >= 24 and bottom - top >= 3 and right_ - left_ >= 3""")
 def torso_bands(v: Views) -> DataFrame:
-    band = M.torso_band(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
+    band = M.torso_band(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), 480, 90)
     return v.detections.withColumn("t", band).filter("t is not null").select(*KEY, "det_ix", "t.top", "t.bottom", F.col("t.left").alias("left_"), F.col("t.right").alias("right_"))
 
 
