@@ -13,7 +13,7 @@ import re
 
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
-MEMO = 800_000
+MEMO = 400_000
 
 #: White space, letters and numbers below U+0250, and in general punctuation, by Unicode's properties.
 _S = r"\t-\r \x85\xa0 -     "
