@@ -1,0 +1,68 @@
+import random
+
+import corpus_pipeline
+import numpy as np
+from turfline.llm import shingle_join
+
+SF = "/root/testdata/sf0.01"
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def slow_set(text, k=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def brute(rows):
+    """doc_id of each row's group by comparing all pairs."""
+    sets = [slow_set(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = len(sets[i]), len(sets[j])
+            if (not a and not b) or (a and b and 5 * min(a, b) >= 4 * max(a, b) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    out = []
+    for k, (i, _) in enumerate(rows):
+        ids = [r[0] for r, x in zip(rows, label, strict=True) if x == label[k] and r[0] is not None]
+        out.append((i, min(ids) if ids else None))
+    return out
+
+
+def test_groups_match_all_pairs(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(1000, None), (1001, ""), (1002, " \n"), (None, "one two"), (1003, "One  TWO"), (1004, "two one"), (None, None), (None, "alone")]
+    for base in range(12):
+        words = [word() for _ in range(rng.randint(20, 300))]
+        for copy in range(rng.randint(1, 9)):
+            changed = [word() if rng.random() < 0.02 else w for w in words]
+            rows.append((base * 50 + copy, " ".join(changed) + (" " + passage if base % 2 else "")))
+    rows.append(rows[-1])
+    rng.shuffle(rows)
+    want = sorted(brute(rows), key=str)
+    assert len({c for _, c in want}) < len({i for i, _ in want})
+    for chunk in (3, 256):
+        found = shingle_join.groups(table(spark, rows), chunk=chunk)
+        assert sorted(((r.doc_id, r.component_id) for r in found.collect()), key=str) == want
+    assert shingle_join.groups(table(spark, [])).count() == 0
+
+
+def test_boundary():
+    a = np.arange(9, dtype=np.uint64)
+    assert shingle_join.alike([a, a[:8], a[:7]]) == [(0, 1), (1, 2)]
+    b = np.arange(100, 109, dtype=np.uint64)
+    assert shingle_join.alike([np.concatenate([b[:8], a[:1]]), np.concatenate([b[:8], a[1:2]]), np.concatenate([b[:7], a[2:4]])]) == [(0, 1)]
+
+
+def test_stage_removes_all_near_copies(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").dropDuplicates(["text"]).localCheckpoint()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = {c for _, c in brute(rows)}
+    assert len(want) == len(rows) - 5
+    assert {r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()} == want

@@ -1,0 +1,259 @@
+"""Near-duplicate groups by the exact Jaccard similarity of word shingles.
+
+A text is the set of its shingles' 64-bit hashes; equal sets are one node. Two sets of similarity 4/5 or more share
+at least four fifths of the larger one, so they share one of the first n - ceil(4n/5) + 1 shingles of each in any order
+common to all texts. Shingles that repeat within a partition come last in that order, which keeps passages of many
+texts out of these prefixes; the order decides the work only, never the result. Nodes that share a shingle of their
+prefixes, at places and with sizes that allow the similarity, are joined to clusters by one link per node and shingle. Clusters above CHUNK nodes are dealt out by pairs of
+chunks. Within a task all overlaps are counted exactly, and a spanning forest of the links is reported. No pair is
+dropped, sampled or capped.
+
+Words are those of the fingerprints: bytes between ASCII white space, A-Z folded. Null texts count as empty; texts
+without words are one group. Texts of fewer words than a shingle are one shingle. A null doc_id takes part but is never
+the smallest id of its group. Repeated rows give repeated results. An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import WordHasher, staged, texts_as_bytes, word_bounds
+from .simhash_bk import components
+
+SHINGLE = 5
+CHUNK = 256
+#: Shingles whose place in the order is moved, by their counts; more or fewer change the work only.
+FREQUENT = 100_000
+SLICE = 2048
+#: Bits of the filter that keeps most texts without partners from being shuffled; the join behind it decides.
+SLOTS = 1 << 22
+_words = WordHasher()
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of the text's shingles, sorted."""
+    data = np.frombuffer(text.lower(), np.uint8)
+    starts, ends = word_bounds(data)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    words = _words(data, starts, ends)
+    width = min(shingle, len(words))
+    n = len(words) - width + 1
+    with np.errstate(over="ignore"):
+        h = np.full(n, width, np.uint64)
+        for k in range(width):
+            h = (h ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+    return np.unique(h)
+
+
+def _node(values: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(values.tobytes())).astype(np.int64))
+
+
+def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that repeat within partitions, sorted, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t, shingle) for t in texts_as_bytes(batch)]
+            values, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+            often = counts > 1
+            yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["h", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(values: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of which a set of similarity 4/5 shares at least one, rarest first."""
+    n = len(values)
+    rank = np.zeros(n, np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, values), len(often) - 1)
+        rank = np.where(often[at] == values, counts[at], 0)
+    return values[np.lexsort((values, rank))[: n - (4 * n + 4) // 5 + 1]] if n else values
+
+
+def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Positions of sets that span the components of all pairs of similarity 4/5 or more."""
+    size = np.array([len(s) for s in sets], np.int64)
+    values, index, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[index]
+    row, column = np.repeat(np.arange(len(sets)), size)[keep], column[index[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    overlap = np.zeros((len(sets), len(sets)), np.float64)
+    for first in range(0, int(shared.sum()), SLICE):
+        a, b = np.searchsorted(column, (first, first + SLICE))
+        some = np.zeros((len(sets), SLICE), np.float32)
+        some[row[a:b], column[a:b] - first] = 1
+        overlap += some @ some.T
+    i, j = np.nonzero(np.triu(9 * overlap >= 4 * (size[:, None] + size[None]), 1))
+    parent = list(range(len(sets)))
+    links = []
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = top(x), top(y)
+        if a != b:
+            parent[a] = b
+            links.append((x, y))
+    return links
+
+
+def links(nodes: DataFrame, sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """a, b: links that span the groups of `nodes` (cluster, node), whose shingles are in `sets` (node, shingles)."""
+    counts = staged(nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "shingles-clusters")
+    dealt = nodes.join(counts, "cluster").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    # two chunks meet in one task; a chunk of several meets itself there too
+    dealt = dealt.filter((F.col("chunks") == 1) | (F.col("own") != F.col("other"))).select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node")
+    key = ["cluster", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        names: list[int] = []
+        found: list[np.ndarray] = []
+        out: list[tuple[int, int]] = []
+
+        def flush() -> None:
+            if len(names) > 1:
+                out.extend((names[i], names[j]) for i, j in alike(found))
+            names.clear()
+            found.clear()
+
+        def emit() -> pa.RecordBatch:
+            pairs = np.array(out, np.int64).reshape(-1, 2)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            keys = zip(*[batch.column(k).to_pylist() for k in key], strict=True)
+            column = batch.column("shingles")
+            ends, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+            for i, (k, node) in enumerate(zip(keys, batch.column("node").to_pylist(), strict=True)):
+                if k != held:
+                    flush()
+                    held = k
+                names.append(node)
+                found.append(values[ends[i] : ends[i + 1]].copy())
+            if out:
+                yield emit()
+        flush()
+        if out:
+            yield emit()
+
+    return dealt.join(sets, "node").repartition(*key).sortWithinPartitions(*key).select(*key, "node", "shingles").mapInArrow(run, "a long, b long")
+
+
+def _partners(posted: DataFrame) -> DataFrame:
+    """a, b: links that span the pairs under each shingle of `posted` (h, sized, node) that may be of similarity 4/5.
+
+    The first shingle that two sets share, at places i and j of their orders, leaves them at most n - i and m - j in
+    common, and they need 4/9 (n + m): m is at most (5n - 9i) / 4 and n at most (5m - 9j) / 4. `sized` holds a set's size
+    and that reach. Where the reach is the size or more, these are intervals that meet; where it is less, an interval
+    within another. The farthest reach of the smaller sets decides both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: int | None = None
+        sizes: list[int] = []
+        reaches: list[tuple[int, int]] = []
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            if not len(h):
+                continue
+            # alone under its shingle, and not at an edge of the batch: no partner
+            same = h[1:] == h[:-1]
+            some = np.concatenate([[True], same]) | np.concatenate([same, [True]])
+            out = set()
+            for k, sized, node in zip(h[some].tolist(), batch.column("sized").to_numpy()[some].tolist(), batch.column("node").to_numpy()[some].tolist(), strict=True):
+                if k != held:
+                    held = k
+                    sizes.clear()
+                    reaches.clear()
+                size, reach = sized >> 32, sized & 0xFFFFFFFF
+                at = bisect_right(sizes, min(size, reach))
+                if at and reaches[at - 1][0] >= size:
+                    out.add((node, reaches[at - 1][1]))
+                if reach >= size:
+                    sizes.append(size)
+                    reaches.append(max(reaches[-1], (reach, node)) if reaches else (reach, node))
+            if out:
+                pairs = np.array(list(out), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return posted.repartition("h").sortWithinPartitions("h", "sized", "node").mapInArrow(run, "a long, b long")
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, node, component_id: one row per row of docs."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    often, counts = _frequent(docs, shingle)
+
+    def nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_node(shingles(t, shingle)) for t in texts_as_bytes(batch)], pa.int64())], ["doc_id", "node"])
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t, shingle) for t in texts_as_bytes(batch)]
+            first = [prefix(v, often, counts) for v in found]
+            nodes = np.repeat(np.array([_node(v) for v in found], np.int64), list(map(len, first)))
+            sized = [len(v) << 32 | np.maximum(5 * len(v) - 9 * np.arange(len(f)), 0) // 4 for v, f in zip(found, first, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int64), *sized])), pa.array(nodes)], ["h", "sized", "node"]
+            )
+
+    slim = staged(docs.mapInArrow(nodes_of, "doc_id long, node long"), "shingles-slim")
+    clusters = staged(components(_partners(docs.select("text").mapInArrow(posted, "h long, sized long, node long"))).select("node", F.col("label").alias("cluster")), "shingles-clusters")
+    slots = clusters.select(F.pmod("node", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow().column("slot").to_numpy()
+    marked = np.zeros(SLOTS, bool)
+    marked[slots] = True
+    marks = np.packbits(marked)
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(marks).view(bool)
+        for batch in batches:
+            found = [(k, v) for v in (shingles(t, shingle) for t in texts_as_bytes(batch)) if wanted[(k := _node(v)) % SLOTS]]
+            ends = np.cumsum([0, *(len(v) for _, v in found)]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *(v for _, v in found)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["node", "shingles"])
+
+    sets = docs.select("text").mapInArrow(sets_of, "node long, shingles array<long>").join(clusters.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = staged(sets, "shingles-sets")
+    label = staged(components(links(clusters, sets, chunk)), "shingles-labels")
+    distinct = staged(slim.groupBy("node").agg(F.min("doc_id").alias("first_id")), "shingles-distinct")
+    linked = label.join(distinct, "node").select("node", "label", "first_id")
+    least = linked.groupBy("label").agg(F.min("first_id").alias("least_id"))
+    linked = linked.join(least, "label").select(F.col("node").alias("_node"), "least_id")
+    named = distinct.join(linked, distinct["node"] == linked["_node"], "left").select(F.col("node").alias("_node"), F.coalesce("least_id", "first_id").alias("component_id"))
+    named = staged(named, "shingles-named")
+    return slim.join(named, slim["node"] == named["_node"]).select("doc_id", "node", "component_id")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """docs with one document of each group, the one of the smallest doc_id; the columns of docs.
+
+    Rows of a null doc_id stay only if their whole group has no id; rows that repeat the kept doc_id all stay.
+    """
+    found = groups(docs, **options)
+    gone = staged(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "shingles-gone")
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
