@@ -14,6 +14,7 @@ import hashlib
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,9 @@ class Codec:
         self.tokenizer = bpe.from_ranks(path, pattern)
         self.memo = bpe.Memo(self.tokenizer)
         self.token_bytes = {i: bpe.to_bytes(t) for t, i in self.tokenizer.get_vocab().items()}
+        self.lengths = np.zeros(max(self.token_bytes, default=-1) + 1, np.int64)
+        for i, b in self.token_bytes.items():
+            self.lengths[i] = len(b)
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.memo.__getitem__, bpe.pre_tokens(text, self.tokenizer))))
@@ -76,20 +80,34 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, data binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, exact: encoding and decoding in one pass over the texts."""
+def round_trip(docs: DataFrame, path: str, pattern: str, tokens: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, exact: encoding and decoding in one pass over the texts.
+
+    With `tokens` also ids and ends, as of encode().
+    """
+
+    def lists(arrays: list[np.ndarray], kind: type) -> pa.Array:
+        return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), np.concatenate([np.zeros(0, kind), *arrays]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            rows = []
+            rows, kept = [], []
             for text in texts_as_str(batch):
                 ids = c.encode(text)
                 data = c.decode(ids)
                 rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(data).hexdigest(), data == text.encode()))
+                if tokens:
+                    kept.append(np.array(ids, np.int32))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
             types = (pa.int64(), pa.string(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"]
+            out = [batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))]
+            if tokens:
+                names += ["ids", "ends"]
+                out += [lists(kept, np.int32), lists([np.cumsum(c.lengths[x]) for x in kept], np.int64)]
+            yield pa.RecordBatch.from_arrays(out, names)
             c.memo.trim()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean" + (", ids array<int>, ends array<long>" if tokens else "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
