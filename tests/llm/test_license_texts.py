@@ -25,3 +25,11 @@ def test_whole_texts(spark):
     found = scan(spark, texts)
     assert [found[k][0] for k in range(len(names))] == list(names.values())
     assert all(digest not in ORACLES["op7_license_scan"] for _, digest, _ in license_scan.WHOLE)
+
+
+def test_padded_lines_and_other_lists(spark):
+    padded = "a\n" + "Released under" + " -*" * 9_000 + " the MIT License.\nb"
+    assert scan(spark, [padded]) == {0: (None, "MIT", 1)}
+    docs = spark.createDataFrame([(0, "x\nFree for all to use!\ny")], "doc_id long, text string")
+    (row,) = license_scan.scan(docs, known=(("Own", "Free for all to use."),)).collect()
+    assert (row.line_licenses, row.n_license_lines) == ("Own", 1)

@@ -382,16 +382,13 @@ def scan(docs: DataFrame, known=KNOWN, whole=WHOLE) -> DataFrame:
     spark = docs.sparkSession
     table = known_digests(spark, known).collect()  # a fixed list, not data
     ids = {d: i for i, d, _ in whole} | {r["known_digest"]: r["license_id"] for r in table}
-    longest = max([r["n"] for r in table] + [n for *_, n in whole])
+    sizes = sorted({r["n"] for r in table} | {n for *_, n in whole})
     known_rows = F.broadcast(spark.createDataFrame(list(ids.items()), "known_digest string, license_id string"))
     by_digest = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
-    # a line can be as long as the longest known text and its punctuation; longer ones keep their letters and match nothing
-    likely = lambda line: F.length(line) <= 4 * longest + 64
-    named = lambda line: F.try_element_at(by_digest, F.sha2(canonical(line).cast("binary"), 256))
-    words = F.lower(whole_text())
-    lines = F.filter(F.split(words, "\n"), lambda x: likely(x) & x.rlike("licen[sc]e|rights|permission"))
-    has_line = words.rlike("licen[sc]e|rights|permission")
-    lines = F.when(has_line, F.filter(F.transform(lines, named), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    # only a canonical form of a known length is hashed and looked up
+    named = lambda form: F.when(F.length(form).isin(sizes), F.try_element_at(by_digest, F.sha2(form.cast("binary"), 256)))
+    forms = F.transform(F.split(whole_text(), "\n"), canonical)
+    lines = F.filter(F.transform(forms, named), lambda x: x.isNotNull())
     rows = docs.select("doc_id", F.sha2(canonical(whole_text()).cast("binary"), 256).alias("canonical_sha256"), lines.alias("lines"))
     rows = rows.join(known_rows, F.col("canonical_sha256") == F.col("known_digest"), "left")
     return rows.select(
