@@ -25,7 +25,7 @@ BITS = 22
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 0.5
 #: Toxic rows are few; their gradients count so many times.
 POSITIVE_WEIGHT = 3.0
-#: Bound of the training sample, and how often it is gone through: small samples up to EPOCHS times, a full one four times.
+#: Bound of the training sample, and how often it is gone through at any size.
 MAX_TRAINING = 16_000
 EPOCHS = 20
 THRESHOLD = 0.5
@@ -60,7 +60,7 @@ def _features(text: bytes) -> np.ndarray:
 
 def train(examples: list[tuple[np.ndarray, int]], epochs: int | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Buckets and weights that are not zero, and the bias."""
-    epochs = epochs or min(EPOCHS, max(4, 4 * MAX_TRAINING // max(1, len(examples))))
+    epochs = epochs or EPOCHS
     z = np.zeros((1 << BITS) + 1)
     n = np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
