@@ -27,7 +27,7 @@ def test_stages_in_turn(spark, tmp_path):
         best[r.text] = max(best.get(r.text, -1), r.doc_id)
     assert sorted(best.values()) == sorted(r.doc_id for r in after.collect())
     before, after = kept["near_dedup"]
-    least = {r.component_id for r in simhash_bk.groups(before).collect()}
+    least = {r.component_id for r in simhash_bk.similar_groups(before).collect()}
     assert {r.doc_id for r in after.collect()} == least
     before, after = kept["mix"]
     copies = {r.doc_id: r.copies for r in source_mix.mix(before).collect() if r.copies}

@@ -4,14 +4,18 @@ Texts get a 64-bit fingerprint from the XXH64 values of their word shingles. Fin
 distinct ones, so that copies cost nothing further. Two fingerprints within `radius` bits agree in at least one
 of radius + 1 blocks of bits; each value of each block is a shard, whose fingerprints make a BK-tree: children are
 keyed by their Hamming distance to the parent, and a search follows only the edges within the radius. Shards
-above TREE_NODES are split once more by a block of the bits that are left, and what is still larger is cut into
-trees of bounded size, each of which is sent to a task of its own together with all queries of the shard. A
+above TREE_NODES are split by a block of the bits that are left, up to DEPTH times (radius + 1 cells for each, as one of
+these blocks agrees too), and what is still larger is cut into trees of bounded size, past each of which the shard's
+other fingerprints are led one at a time. A
 shard reports a spanning forest of its links, never all pairs. The forests are joined to components by
 alternating star contraction. Trees and fingerprints never pass through the driver.
 
+Groups by a similarity of shingle sets (`similar_groups`) begin with the same trees and are then completed exactly.
+
 Null texts count as empty; texts without words have fingerprint zero and link like any other. Texts of fewer words
-than a shingle are one shingle. A null doc_id takes part but is never the smallest id of its group. Repeated rows
-give repeated results. An empty table gives an empty result.
+than a shingle are one shingle. Very long texts are hashed in slices. A null doc_id takes part but is never the smallest
+id of its group. Ties: equal fingerprints are one node. Repeated rows give repeated results. An empty table gives an
+empty result. Further columns of docs are not read and stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, texts_as_bytes
+from . import shingle_sets
+from .common import byte_slices, small_side, staged, texts_as_bytes, without_ids
 
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
 TREE_NODES = 4096
+#: How often a shard above TREE_NODES is split by further blocks of bits before it is cut into several trees.
+DEPTH = 3
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -43,18 +50,22 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     n = max(1, len(words) - shingle + 1)
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)], ">u8")
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero for none."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 14):  # bits of one slice of a long text at a time
-        ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    for at in range(0, len(hashes), 1 << 14):  # bits of one slice of a long text at a time
+        ones += np.unpackbits(hashes[at : at + (1 << 14)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in texts_as_bytes(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 
@@ -93,27 +104,38 @@ class BKTree:
         return found
 
 
-def forest(tree_values: list[int], queries: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links that span the components of all links within the tree's values and from the queries to them."""
-    parent: dict[int, int] = {}
+class Forest:
+    """Links that span the components of all links within a tree's values and from the queries to them.
+
+    The tree and the names of what it has linked are bounded by the values put into the tree; a query leaves nothing.
+    """
+
+    def __init__(self, radius: int) -> None:
+        self.radius, self.tree = radius, BKTree()
+        self.parent: dict[int, int] = {}
 
-    def top(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = parent.setdefault(up, up)
+    def _top(self, x: int) -> int:
+        while (up := self.parent.setdefault(x, x)) != x:
+            self.parent[x] = self.parent.setdefault(up, up)
             x = up
         return x
 
-    tree, links = BKTree(), []
-    for inserted, values in ((True, tree_values), (False, queries)):
-        for value in values:
-            for other in tree.within(value, radius):
-                a, b = top(value), top(other)
-                if a != b:
-                    parent[a] = b
-                    links.append((value, other))
-            if inserted:
-                tree.add(value)
-    return links
+    def add(self, value: int, inside: bool) -> list[tuple[int, int]]:
+        """The links that this value adds; it goes into the tree if `inside`."""
+        links, seen = [], set()
+        for other in self.tree.within(value, self.radius):
+            top = self._top(other)
+            if top not in seen:
+                seen.add(top)
+                links.append((value, other))
+        # what the value touches is one component from now on
+        tops = list(seen)
+        if inside:
+            self.tree.add(value)
+            tops.append(self._top(value))
+        for top in tops[1:]:
+            self.parent[top] = tops[0]
+        return links
 
 
 def _blocks(n: int, bits: int) -> list[tuple[int, int]]:
@@ -124,50 +146,42 @@ def _blocks(n: int, bits: int) -> list[tuple[int, int]]:
 
 def links(fps: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
     """a, b: links that span all groups of the distinct fingerprints `fps` (column fp)."""
-    outer = _blocks(radius + 1, 64)
-    part = lambda at, width: F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), part(at, w).alias("value")) for i, (at, w) in enumerate(outer)])).alias("k")).select("fp", "k.*")
-    sizes = keyed.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = staged(sizes, "simhash-shards")
-    keyed = keyed.join(sizes, ["block", "value"])
-    small = keyed.filter(F.col("n") <= tree_nodes).select(
-        F.col("block"), F.col("value"), F.lit(-1).alias("inner"), F.lit(0).cast("long").alias("inner_value"), F.lit(0).alias("chunk"), F.lit(True).alias("in_tree"), "fp"
-    )
-    shards = small
-    large = keyed.filter(F.col("n") > tree_nodes)
-    if not sizes.filter(F.col("n") > tree_nodes).isEmpty():
-        # the bits outside the agreed block, cut again: one of these blocks agrees too
-        inner = []
-        for i, (at, w) in enumerate(outer):
-            rest = [b for b in range(64) if not at <= b < at + w]
-            for j, (a, width) in enumerate(_blocks(radius + 1, len(rest))):
-                mask = sum(1 << b for b in rest[a : a + width])
-                signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-                inner.append((i, j, signed))
-        cells = F.filter(F.array(*[F.struct(F.lit(i).alias("of"), F.lit(j).alias("inner"), F.col("fp").bitwiseAND(F.lit(m)).alias("inner_value")) for i, j, m in inner]), lambda x: x["of"] == F.col("block"))
-        finer = large.select("block", "value", "fp", F.explode(cells).alias("c")).select("block", "value", "fp", "c.inner", "c.inner_value")
-        finer = staged(finer, "simhash-finer")
-        counts = finer.groupBy("block", "value", "inner", "inner_value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        finer = finer.join(counts, ["block", "value", "inner", "inner_value"])
+
+    def finer_masks(mask: int) -> list[int]:
+        """The mask with each block of the bits that it leaves open."""
+        bits = [b for b in range(64) if not mask >> b & 1]
+        return [mask | sum(1 << b for b in bits[at : at + width]) for at, width in _blocks(radius + 1, len(bits))]
+
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    # the bits in which a cell's fingerprints agree name it: `mask`, and `value`, the fingerprint under the mask
+    masks = finer_masks(0)
+    open_rows = fps.select("fp", F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask"))
+    shards, depth = [], 0
+    while True:
+        keyed = open_rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = keyed.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        sizes = staged(sizes, "simhash-shards")
+        large = sizes.filter(F.col("n") > tree_nodes)
+        last = depth == DEPTH or large.isEmpty()
+        fits = keyed.join(sizes if last else sizes.filter(F.col("n") <= tree_nodes), ["mask", "value"])
         chunks = F.ceil(F.col("n") / tree_nodes).cast("int")
-        finer = finer.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-        finer = finer.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        finer = finer.select("block", "value", "inner", "inner_value", "chunk", (F.col("own") == F.col("chunk")).alias("in_tree"), "fp")
-        shards = small.unionByName(finer)
-    key = ["block", "value", "inner", "inner_value", "chunk"]
+        fits = fits.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+        fits = fits.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        shards.append(fits.select("mask", "value", "chunk", (F.col("own") == F.col("chunk")).alias("in_tree"), "fp"))
+        if last:
+            break
+        # within the radius, one of radius + 1 blocks of the bits left open agrees as well
+        finer = [F.when(F.col("mask") == signed(m), F.array(*[F.lit(signed(x)) for x in finer_masks(m)])) for m in masks]
+        masks = sorted({x for m in masks for x in finer_masks(m)})
+        open_rows = staged(keyed.join(large.select("mask", "value"), ["mask", "value"]).select("fp", F.explode(F.coalesce(*finer)).alias("mask")).distinct(), "simhash-finer")
+        depth += 1
+    key = ["mask", "value", "chunk"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
-        tree: list[int] = []
-        queries: list[int] = []
+        web: Forest | None = None
         out: list[tuple[int, int]] = []
 
-        def flush() -> None:
-            if len(tree) + len(queries) > 1:
-                out.extend(forest(tree, queries, radius))
-            tree.clear()
-            queries.clear()
-
         def emit() -> pa.RecordBatch:
             pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
             out.clear()
@@ -178,16 +192,16 @@ def links(fps: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) ->
             values = batch.column("fp").to_numpy().view(np.uint64).tolist()
             for k, inside, value in zip(keys, batch.column("in_tree").to_pylist(), values, strict=True):
                 if k != held:
-                    flush()
-                    held = k
-                (tree if inside else queries).append(value)
+                    held, web = k, Forest(radius)
+                out += web.add(value, inside)
             if out:
                 yield emit()
-        flush()
-        if out:
-            yield emit()
 
-    dealt = shards.repartition(*key).sortWithinPartitions(*key, "fp")
+    dealt = shards[0]
+    for more in shards[1:]:
+        dealt = dealt.unionByName(more)
+    # a tree's own values come first, then its queries pass by one at a time
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key, F.desc("in_tree"), "fp")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -217,24 +231,68 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(own)
 
 
+def _named(slim: DataFrame, key: str, label: DataFrame) -> DataFrame:
+    """slim with component_id: the least doc_id of the rows whose `key` has the same label (node, label)."""
+    distinct = staged(slim.groupBy(key).agg(F.min("doc_id").alias("first_id")), "groups-distinct")
+    label = label.select(F.col("node").alias("at"), "label")
+    linked = label.join(distinct, F.col("at") == F.col(key)).select(key, "label", "first_id")
+    least = linked.groupBy("label").agg(F.min("first_id").alias("least_id"))
+    linked = linked.join(least, "label").select(F.col(key).alias("at"), "least_id")
+    named = distinct.join(linked, distinct[key] == linked["at"], "left").select(F.col(key).alias("at"), F.coalesce("least_id", "first_id").alias("component_id"))
+    named = staged(named, "groups-named")  # both sides of the last join are then plain exchanges, whose hot keys can be split
+    return slim.join(named, slim[key] == named["at"]).select("doc_id", key, "component_id")
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """doc_id, fp, component_id: one row per row of docs."""
+    """doc_id, fp, component_id: one row per row of docs; groups are linked by fingerprints within the radius."""
     slim = staged(fingerprints(docs, shingle), "simhash-slim")
-    distinct = staged(slim.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    label = staged(components(links(distinct.select("fp"), radius, tree_nodes)), "simhash-labels")
-    linked = label.join(distinct, label["node"] == distinct["fp"]).select("fp", "label", "first_id")
-    least = linked.groupBy("label").agg(F.min("first_id").alias("least_id"))
-    linked = linked.join(least, "label").select(F.col("fp").alias("_fp"), "least_id")
-    named = distinct.join(linked, distinct["fp"] == linked["_fp"], "left").select(F.col("fp").alias("_fp"), F.coalesce("least_id", "first_id").alias("component_id"))
-    named = staged(named, "simhash-named")  # both sides of the last join are then plain exchanges, whose hot keys can be split
-    return slim.join(named, slim["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
+    label = staged(components(links(slim.select("fp").distinct(), radius, tree_nodes)), "simhash-labels")
+    return _named(slim, "fp", label)
+
+
+def similar_groups(docs: DataFrame, shingle: int = shingle_sets.SHINGLE, radius: int = RADIUS, tree_nodes: int = TREE_NODES, run_rows: int = shingle_sets.RUN) -> DataFrame:
+    """doc_id, node, component_id: one row per row of docs; groups are linked by a Jaccard similarity of 4/5 or more.
+
+    The BK-trees over the fingerprints of the shingle sets come first: each of their links is compared exactly, which
+    joins the nearest copies, however many. As fingerprints of sets of similarity 4/5 differ in ten bits on average,
+    a radius that finds them all would visit nearly the whole tree; the links beyond the radius are found by the sets
+    themselves (`shingle_sets`), between groups only. The result is that of comparing all pairs.
+    """
+    sets = staged(shingle_sets.sets_of(docs, majority, shingle).withColumn("row", F.monotonically_increasing_id()), "similar-sets")
+    slim = sets.select("doc_id", "node")
+    nodes = staged(sets.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row"), F.count(F.lit(1)).alias("rows")), "similar-nodes")
+    repeats = nodes.filter("rows > 1").select(F.col("node").alias("at"), F.col("row").alias("first"))
+    # one row carries each set
+    once = sets.join(small_side(repeats), F.col("node") == F.col("at"), "left").filter("first is null or first = row").select("node", "fp", "shingles")
+    heads = staged(nodes.groupBy("fp").agg(F.min("node").alias("head")), "similar-heads")
+    near = links(heads.select("fp"), radius, tree_nodes)
+    name = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_head"))
+    found = near.join(name("a"), "a").join(name("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    same = nodes.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    pairs = found.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    judged = staged(shingle_sets.verified(staged(pairs, "similar-pairs"), once), "similar-judged")
+    posts = staged(shingle_sets.posts_of(once), "similar-posts")
+    label = staged(components(judged.filter("alike")), "similar-labels")
+    for pair_up in (shingle_sets.chained, shingle_sets.crossed):
+        more = staged(shingle_sets.candidates(posts, label, pair_up, run_rows).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "similar-pairs")
+        judged = staged(judged.unionByName(shingle_sets.verified(more, once)), "similar-judged")
+        label = staged(components(judged.filter("alike")), "similar-labels")
+    return _named(slim, "node", label)
+
+
+def _first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return without_ids(docs, staged(gone, "groups-gone"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group, the one of the smallest doc_id; the columns of docs.
+    """docs with one document of each group of fingerprints, the one of the smallest doc_id; the columns of docs.
 
     Rows of a null doc_id stay only if their whole group has no id; rows that repeat the kept doc_id all stay.
     """
-    found = groups(docs, **options)
-    gone = staged(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "simhash-gone")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    return _first_of_each(docs, groups(docs, **options))
+
+
+def keep_one_similar(docs: DataFrame, **options) -> DataFrame:
+    """As keep_one, of each group of similar shingle sets."""
+    return _first_of_each(docs, similar_groups(docs, **options))
