@@ -48,8 +48,8 @@ def test_groups_match_all_pairs(spark):
     rng.shuffle(rows)
     want = sorted(brute(rows), key=str)
     assert len({c for _, c in want}) < len({i for i, _ in want})
-    for run_rows, tree_nodes in ((3, 4), (shingle_sets.RUN, simhash_bk.TREE_NODES)):
-        found = simhash_bk.similar_groups(table(spark, rows), run_rows=run_rows, tree_nodes=tree_nodes)
+    for options in ({"run_rows": 3, "tree_nodes": 4, "elements": 400}, {}):
+        found = simhash_bk.similar_groups(table(spark, rows), **options)
         assert sorted(((r.doc_id, r.component_id) for r in found.collect()), key=str) == want
     assert simhash_bk.similar_groups(table(spark, [])).count() == 0
 
@@ -74,15 +74,39 @@ def test_boundary(spark):
     assert {(r.a, r.b): r.alike for r in shingle_sets.verified(pairs, sets).collect()} == {(1, 2): True, (2, 3): True, (1, 3): False}
 
 
-def test_crossed_pairs_are_complete(monkeypatch):
-    monkeypatch.setattr(shingle_sets, "CELLS", 64)
+def top_of(label, x):
+    while label[x] != x:
+        x = label[x]
+    return x
+
+
+def spans(k, pairs, same=()):
+    label = list(range(k))
+    for i, j in [*same, *pairs]:
+        label[top_of(label, i)] = top_of(label, j)
+    return [frozenset(y for y in range(k) if top_of(label, y) == top_of(label, x)) for x in range(k)]
+
+
+def test_clusters_are_complete():
     rng = np.random.default_rng(0)
     for _ in range(20):
         k = 40
-        size, place, group = np.sort(rng.integers(5, 12, k)), rng.integers(0, 3, k), rng.integers(0, 4, k)
-        found = {(min(i, j), max(i, j)) for a, b in shingle_sets.crossed(size, place, group) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
-        want = {(i, j) for i in range(k) for j in range(i + 1, k) if group[i] != group[j] and 9 * min(size[i] - place[i], size[j] - place[j]) >= 4 * (size[i] + size[j])}
-        assert found == want
+        size, place, group = np.sort(rng.integers(5, 40, k)), rng.integers(0, 3, k), rng.integers(0, 8, k)
+        found = [(i, j) for a, b in shingle_sets.spanned(size, place, group) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        want = [(i, j) for i in range(k) for j in range(i) if group[i] != group[j] and 9 * min(size[i] - place[i], size[j] - place[j]) >= 4 * (size[i] + size[j])]
+        assert spans(k, found) == spans(k, want) and len(found) < k
+
+
+def test_alike_equals_all_pairs():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        base = rng.integers(0, 1 << 60, 60).astype(np.uint64)
+        sets = [np.unique(np.where(rng.random(60) < rng.random() * 0.25, rng.integers(0, 1 << 60, 60).astype(np.uint64), base)) for _ in range(30)] + [np.zeros(0, np.uint64)]
+        group = rng.integers(0, 12, 31).tolist()
+        asks = [g != 3 for g in group]
+        same = [(i, j) for i in range(31) for j in range(i) if group[i] == group[j]]
+        want = [(i, j) for i in range(30) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+        assert spans(31, shingle_sets.alike(sets, group, asks), same) == spans(31, [x for x in want if asks[x[0]] or asks[x[1]]], same)
 
 
 def test_stage_removes_all_near_copies(spark):

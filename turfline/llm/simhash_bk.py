@@ -250,11 +250,11 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tree_n
     return _named(slim, "fp", label)
 
 
-def similar_groups(docs: DataFrame, shingle: int = shingle_sets.SHINGLE, radius: int = RADIUS, tree_nodes: int = TREE_NODES, run_rows: int = shingle_sets.RUN) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = shingle_sets.SHINGLE, radius: int = RADIUS, tree_nodes: int = TREE_NODES, run_rows: int = shingle_sets.RUN, elements: int = shingle_sets.ELEMENTS) -> DataFrame:
     """doc_id, node, component_id: one row per row of docs; groups are linked by a Jaccard similarity of 4/5 or more.
 
-    The BK-trees over the fingerprints of the shingle sets come first: each of their links is compared exactly, which
-    joins the nearest copies, however many. As fingerprints of sets of similarity 4/5 differ in ten bits on average,
+    The BK-trees over the fingerprints of the shingle sets come first: each of their links is compared exactly, as are
+    neighbours under a shingle, which joins most copies, however many. As fingerprints of sets of similarity 4/5 differ in ten bits on average,
     a radius that finds them all would visit nearly the whole tree; the links beyond the radius are found by the sets
     themselves (`shingle_sets`), between groups only. The result is that of comparing all pairs.
     """
@@ -269,15 +269,16 @@ def similar_groups(docs: DataFrame, shingle: int = shingle_sets.SHINGLE, radius:
     name = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_head"))
     found = near.join(name("a"), "a").join(name("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
     same = nodes.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    pairs = found.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    judged = staged(shingle_sets.verified(staged(pairs, "similar-pairs"), once), "similar-judged")
     posts = staged(shingle_sets.posts_of(once), "similar-posts")
-    label = staged(components(judged.filter("alike")), "similar-labels")
-    for pair_up in (shingle_sets.chained, shingle_sets.crossed):
-        more = staged(shingle_sets.candidates(posts, label, pair_up, run_rows).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "similar-pairs")
-        judged = staged(judged.unionByName(shingle_sets.verified(more, once)), "similar-judged")
-        label = staged(components(judged.filter("alike")), "similar-labels")
-    return _named(slim, "node", label)
+    next_to = shingle_sets.candidates(posts.withColumn("c", F.col("node")), shingle_sets.chained, run_rows)
+    pairs = found.unionByName(same).unionByName(next_to).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    joined = staged(shingle_sets.verified(staged(pairs, "similar-pairs"), once).filter("alike").select("a", "b"), "similar-joined")
+    label = staged(components(joined), "similar-labels").select(F.col("node").alias("at"), "label")
+    posts = staged(posts.join(small_side(label), F.col("node") == F.col("at"), "left").select("node", "n", "prefix", F.coalesce("label", "node").alias("c")), "similar-posts")
+    clusters = components(shingle_sets.candidates(posts, shingle_sets.spanned, run_rows)).select("node", F.col("label").alias("cluster"))
+    clusters = staged(clusters.join(posts.select("node", "n", "c"), "node"), "similar-clusters")
+    more = staged(shingle_sets.cluster_links(clusters, once, elements), "similar-more")
+    return _named(slim, "node", staged(components(joined.unionByName(more)), "similar-labels"))
 
 
 def _first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
