@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from turfline.llm import exact_dedup, simhash_bk, source_mix
+from turfline.llm import exact_dedup, quality_knn, simhash_bk, source_mix
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, locator int, fp string, size string"
 SF = "/root/testdata/sf0.001"
@@ -189,13 +189,46 @@ def test_mix(spark):
 
 def test_pareto_ranks(spark):
     """What is taken first is what has the least rank (u / (1 - u)) / (p / (1 - p))."""
-    docs = table(spark, [(i, "w w", "a" if i % 2 else "b") for i in range(400)])
+    docs = table(spark, [(i, "w " * (1 + i * i % 37), "a" if i % 2 else "b") for i in range(400)])
     rows = source_mix.mix(docs).collect()
+    seen = 0
     for s in "ab":
         own = [r for r in rows if r.source == s]
         u = {r.doc_id: (int(hashlib.sha256(f"{source_mix.SEED}:{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for r in own}
         base = min(r.copies for r in own)
-        more = [r.doc_id for r in own if r.copies > base]
-        if more and len(more) < len(own):
-            order = sorted(u, key=u.get)
-            assert len(set(order[: len(more) - 1]) - set(more)) == 0
+        rest = own[0].target - base * own[0].source_size
+        assert sum(r.p * r.size for r in own) == pytest.approx(rest, abs=1e-6)
+        more = {r.doc_id for r in own if r.copies > base}
+        rank = {r.doc_id: 0.0 if r.p >= 1 else u[r.doc_id] / (1 - u[r.doc_id]) * (1 - r.p) / r.p for r in own if r.p > 0}
+        assert more == set(sorted(rank, key=lambda i: (rank[i], i))[: len(more)])
+        if 0 < rest < own[0].source_size:
+            seen += 1
+            assert len({r.p for r in own}) > 5
+            assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own if r.p < 1) / 2
+    assert seen
+
+
+def test_inclusion_frequencies(spark):
+    """Over many sources of the same sizes a document is taken as often as its probability says."""
+    sources, per_size = 40, 3
+    docs = table(spark, [(1000 * s + i, "w " * (1 + i % 40), f"source {s}") for s in range(sources) for i in range(40 * per_size)])
+    rows = source_mix.mix(docs, total_share=0.6, weights=(1,)).collect()
+    p = {r.size: r.p for r in rows}
+    assert len({x for x in p.values() if x < 1}) > 10 and max(p.values()) == 1
+    taken = defaultdict(int)
+    for r in rows:
+        assert r.copies <= 1
+        taken[r.size] += r.copies / (sources * per_size)
+    assert all(abs(taken[s] - p[s]) < 0.15 for s in p)
+    assert np.mean([taken[s] - p[s] for s in p]) == pytest.approx(0, abs=0.02)
+
+
+def test_columns_of_any_name(spark):
+    """Columns that have the names which the operators use themselves."""
+    names = ["_id", "_sha", "_size", "_src", "key_id", "key_digest", "key_source", "key_size", "text_digest", "copies", "size", "copy", "gone_id", "p", "q", "node", "fp"]
+    docs = table(spark, EDGE).select("doc_id", "text", "source", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    labels = spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, quality int")
+    for out in (exact_dedup.drop_copies(docs), simhash_bk.keep_one(docs), simhash_bk.keep_one_similar(docs), source_mix.apply_mix(docs), quality_knn.keep_good(docs, labels)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(list(r)[3:] == list(range(len(names))) for r in rows)

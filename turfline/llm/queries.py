@@ -172,32 +172,32 @@ plan2 as (
 plan3 as (
   select *, greatest(0.0::double, target - certain * source_size) as rest from plan2
 ),
-plan4 as (select *, case when source_size > 0 then rest / source_size else 0.0::double end as p from plan3),
+per as (select source, size, count(*) as n from sized where size > 0 group by source, size),
+sums as (
+  select source, size, sum(size * size * n) over (partition by source order by size rows between unbounded preceding and current row)::bigint as squares,
+         coalesce(sum(size * n) over (partition by source order by size rows between 1 following and unbounded following), 0)::bigint as above
+  from per
+),
+fits as (
+  select s.source, arg_max((p.rest - s.above) / s.squares::double, s.size) as factor
+  from sums s join plan3 p on s.source is not distinct from p.source
+  where p.rest > 0 and s.squares::double / s.size + s.above >= p.rest group by s.source
+),
 ranked0 as (
-  select s.*, p.source_size, p.target, p.certain, p.rest, p.p,
+  select s.*, p.source_size, p.target, p.certain, p.rest, least(1.0::double, coalesce(f.factor, 0.0::double) * s.size) as p,
          (('0x' || substr(sha256('{source_mix.SEED}:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / {float(1 << 52)!r}::double as u
-  from sized s join plan4 p on s.source is not distinct from p.source
+  from sized s join plan3 p on s.source is not distinct from p.source left join fits f on s.source is not distinct from f.source
 ),
-ranked1 as (select *, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as odds from ranked0),
-ranked as (select *, odds / (1 + odds) as q from ranked1),
+ranked1 as (select *, case when p > 0 and p < 1 then (u / (1 - u)) / (p / (1 - p)) end as odds from ranked0),
+ranked as (select *, case when p >= 1 then 0.0::double when p > 0 then odds / (1 + odds) end as q from ranked1),
 running as (
-  select doc_id, source, size, q, rest, sum(size) over (partition by source order by q, doc_id, size) as total
-  from ranked where q is not null and size > 0
+  select source, q, doc_id, size, rest, own, sum(own) over (partition by source order by q, doc_id, size) as total
+  from (select source, q, doc_id, size, rest, size * count(*) as own from ranked where q is not null group by source, q, doc_id, size, rest)
 ),
-edge as (select source, first(rest) as rest, coalesce(max(case when total <= rest then total end), 0) as reached, max(total) as all_of_it from running group by source),
-gaps as (select source, rest - reached as gap from edge where all_of_it > rest),
-closing as (
-  select r.source, arg_min(r.doc_id, {{'m': abs(r.size - g.gap), 'q': r.q, 'd': r.doc_id}}) as doc_id
-  from running r join gaps g on r.source is not distinct from g.source
-  where r.total > r.rest and abs(r.size - g.gap) < abs(g.gap) group by r.source
-),
-chosen as (
-  select r.doc_id, r.source from running r where r.total <= r.rest
-  union all select doc_id, source from closing
-)
+chosen as (select source, q, doc_id, size from running where 2 * total - own < 2 * rest)
 select r.doc_id, r.size, r.source_size, r.target,
-       (case when r.size > 0 then (r.certain + case when c.doc_id is not null then 1 else 0 end) * r.size else 0 end)::bigint as taken
-from ranked r left join chosen c on r.doc_id = c.doc_id
+       (case when r.size > 0 then (r.certain + case when c.q is not null then 1 else 0 end) * r.size else 0 end)::bigint as taken
+from ranked r left join chosen c on r.source is not distinct from c.source and r.q = c.q and r.doc_id is not distinct from c.doc_id and r.size = c.size
 """
 
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_license_scan": _op7_sql(), "op8_secret_scan": _op8_sql(), "op9_source_mix": OP9_SQL}
