@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -34,6 +35,9 @@ def test_edges(spark, module, label):
     docs, labels = frames(spark)
     found = module.classify(edge(spark), labels.limit(0)).collect()
     assert len(found) == 5 and all(0 <= r.score <= 1 for r in found)
+    assert {r.predicted for r in found} == {1 if module is quality_knn else 0}
+    one = module.classify(edge(spark), spark.createDataFrame([(1, 0), (3, 0)], f"doc_id long, {label} int")).collect()
+    assert {r.predicted for r in one} == {0}
     assert module.classify(docs.limit(0), labels).count() == 0
     mixed = module.classify(docs.select("doc_id", "text").unionByName(edge(spark).select("doc_id", "text")), labels.withColumn(label, F.when(F.col("doc_id") % 9 > 0, F.col(label))))
     rows = mixed.collect()
@@ -64,6 +68,55 @@ def test_vote_equals_brute_force():
     assert quality_knn.vote(np.zeros((1, 8), np.float32), model)[0] == pytest.approx(0.6)
 
 
+def test_ties_go_to_the_earlier_row():
+    rng = np.random.default_rng(2)
+    vectors = np.repeat(rng.normal(size=(20, 4)), 8, axis=0)[rng.permutation(160)]
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    model = quality_knn.Model(None, None, vectors, (rng.random(160) < 0.5).astype(np.float32), 0.5)
+    x = vectors[rng.permutation(160)]
+    for row, found in zip(x, quality_knn.vote(x, model), strict=True):
+        cosine = vectors @ row
+        top = sorted(range(160), key=lambda j: (-round(float(cosine[j]) * 1e6), j))[: quality_knn.NEIGHBOURS]
+        w = np.maximum(cosine[top], 0)
+        assert found == pytest.approx((w * model.labels[top]).sum() / w.sum(), abs=1e-5)
+
+
+def test_words_count():
+    a, b = (quality_knn.term_counts(t) for t in (b"The dog runs fast today.", b"Our sun sets late again."))
+    assert (a[: quality_knn.SHAPES] == b[: quality_knn.SHAPES]).all() and (a != b).any()
+    assert (quality_knn.term_counts(b"A dog") [quality_knn.SHAPES :] == quality_knn.term_counts(b"a DOG")[quality_knn.SHAPES :]).all()
+
+
+def test_latent_axes_span_the_leading_directions():
+    rng = np.random.default_rng(3)
+    x = np.zeros((300, quality_knn.TERMS), np.float32)
+    x[:, :60] = rng.normal(size=(300, 60)) * np.geomspace(30, 0.1, 60)
+    axes = quality_knn.latent_axes(lambda: (x[k : k + 100] for k in range(0, 300, 100)), 5)
+    want = np.linalg.svd(x, full_matrices=False)[2][:5].T
+    assert np.linalg.svd(axes.T @ want)[1].min() > 0.99
+
+
+def test_ftrl_equals_a_plain_loop():
+    """The same regression in dictionaries, one coordinate at a time."""
+    rng = np.random.default_rng(4)
+    rows = [(np.unique(rng.integers(0, 30, 6)).astype(np.uint32), int(rng.random() < 0.4)) for _ in range(80)]
+    t = toxicity_ftrl
+    z, n = {}, {}
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= t.L1 else -(z[i] - math.copysign(t.L1, z[i])) / ((t.BETA + math.sqrt(n[i])) / t.ALPHA + t.L2)
+    for _ in range(t.EPOCHS):
+        for features, y in rows:
+            at = [*features.tolist(), "bias"]
+            w = {i: weight(i) for i in at}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (t.POSITIVE_WEIGHT if y else 1.0)
+            for i in at:
+                was = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / t.ALPHA * w[i]
+                n[i] = was + g * g
+    at, w, bias = t.train(rows)
+    assert dict(zip(at.tolist(), w.tolist(), strict=True)) == pytest.approx({i: weight(i) for i in z if i != "bias" and weight(i)})
+    assert bias == pytest.approx(weight("bias")) and len(at)
+
+
 def test_word_hashes_depend_on_words_alone():
     hasher = WordHasher()
     data = np.frombuffer(b"abc x abc yabc a", np.uint8)
