@@ -6,8 +6,10 @@ a learning rate per coordinate and L1 sparsity, so that what scoring needs is a
 which is broadcast with the scoring function. It is fitted in one task on a bounded sample of labelled rows: the
 MAX_TRAINING rows of least hash among those that are not held out. Scoring reads every whole text.
 
-Null texts count as empty; an empty text scores what the bias alone gives. Without training rows, or with one label
-only, the score follows the prior. Repeated rows give repeated results. An empty table gives an empty result.
+Null texts count as empty; an empty text scores what the bias alone gives. Without training rows the score is 0 (but for
+1e-15) and nothing is called toxic; with one label only, every score is that label's share, smoothed by half a row. Very
+long texts are read whole. Repeated rows give repeated results, and count as often in the sample. An empty table gives
+an empty result. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, fold, texts_as_bytes
+from .common import WordHasher, byte_slices, fold, texts_as_bytes
 
 BITS = 22
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 0.5
@@ -29,6 +31,8 @@ POSITIVE_WEIGHT = 3.0
 MAX_TRAINING = 16_000
 EPOCHS = 20
 THRESHOLD = 0.5
+#: Bias without any training row: nothing is called toxic, the score is 0 but for 1e-15.
+NOTHING_KNOWN = -35.0
 
 #: Lower-cased letter or digit of each byte; 32 for what separates words.
 _CANON = np.full(256, 32, np.uint8)
@@ -88,21 +92,35 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, max_training: int =
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_training)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_slices(batches):
+            packed = [np.unique(_features(t)).astype("<u4").tobytes() for t in texts_as_bytes(batch)]
+            order = [hash_order(i) for i in batch.column("doc_id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(packed, pa.binary())], ["order", "doc_id", "toxic", "packed"])
+
+    # an id may have several rows: the bound holds for rows, and what is dealt to one task are features
+    rows = rows.mapInArrow(features, "order long, doc_id long, toxic int, packed binary").orderBy("order", "doc_id", "toxic", "packed").limit(max_training)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for batch in batches:
-            for i, text, y in zip(batch.column("doc_id").to_pylist(), texts_as_bytes(batch), batch.column("toxic").to_pylist(), strict=True):
-                found.append((hash_order(i), i, np.unique(_features(text)), int(y > 0)))
-        found.sort(key=lambda x: (x[0], x[1], x[3]))
-        at, w, bias = train([(f, y) for _, _, f, y in found])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(w), pa.array(np.full(len(at), bias))], ["bucket", "weight", "bias"]) if len(at) else pa.RecordBatch.from_arrays(
-            [pa.array([-1], pa.int64()), pa.array([0.0]), pa.array([bias])], ["bucket", "weight", "bias"]
-        )
+            columns = [batch.column(c).to_pylist() for c in ("order", "doc_id", "toxic", "packed")]
+            found += [(o, i, int(y > 0), p) for o, i, y, p in zip(*columns, strict=True)]
+        found.sort()
+        examples = [(np.frombuffer(p, "<u4"), y) for _, _, y, p in found]
+        ones = sum(y for _, y in examples)
+        if 0 < ones < len(examples):
+            at, w, bias = train(examples)
+        else:  # one label alone teaches its share only
+            at, w, bias = np.zeros(0, np.uint32), np.zeros(0), float(np.log((ones + 0.5) / (len(examples) - ones + 0.5)))
+        at, w = np.append(at.astype(np.int64), -1), np.append(w, 0.0)
+        if examples:
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w), pa.array(np.full(len(at), bias))], ["bucket", "weight", "bias"])
 
     got = rows.repartition(1).mapInArrow(run, "bucket long, weight double, bias double").collect()
     at = np.array([r.bucket for r in got if r.bucket >= 0], np.uint32)
     w = np.array([r.weight for r in got if r.bucket >= 0])
-    return at, w, got[0].bias if got else 0.0
+    return at, w, got[0].bias if got else NOTHING_KNOWN
 
 
 def hash_order(i: int) -> int:
