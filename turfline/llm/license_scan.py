@@ -5,12 +5,15 @@ punctuation and white space reduced to single spaces), its SHA-256 is joined to
 texts and notices. Whole texts are looked up, and so is every line of every text, since notices stand on lines
 of their own.
 
-Null texts count as empty. Texts whose canonical form is empty match nothing. Repeated rows give repeated
-results. An empty table gives an empty result.
+Null texts count as empty. Texts whose canonical form is empty match nothing. Very long texts and lines are brought to
+canonical form whole. Ties: of several licences with one digest the least identifier is named. Repeated rows give
+repeated results. An empty table gives an empty result. Further columns are not read.
 """
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,37 @@ KNOWN = (
     ("Proprietary", "All rights reserved."),
 )
 
+# The sentences of the BSD licences, their titles and the names that copies put into them.
+BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_CLAUSES = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of {name} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+)
+BSD_DISCLAIMER = (
+    'This software is provided by {all} "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. '
+    "In no event shall {any} be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; "
+    "loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) "
+    "arising in any way out of the use of this software, even if advised of the possibility of such damage."
+)
+BSD_TITLES = {2: ("", "BSD 2-Clause License", "The BSD 2-Clause License"), 3: ("", "BSD 3-Clause License", "The BSD 3-Clause License")}
+BSD_NAMES = ("the copyright holder", "the University")
+BSD_PARTIES = ("copyright holder", "copyright holders", "regents", "author")
+BSD_MARKS = (("1.", "2.", "3."), ("", "", ""), ("a.", "b.", "c."))
+
+
+def bsd_texts() -> list[tuple[str, str]]:
+    """Every BSD text of two or three clauses that these titles, marks and names make."""
+    out = []
+    for n, titles in BSD_TITLES.items():
+        for title, rights, marks, name, party in product(titles, ("", "All rights reserved."), BSD_MARKS, BSD_NAMES if n == 3 else ("",), BSD_PARTIES):
+            either = "copyright holder" if party == "copyright holders" else party
+            clauses = [f"{m} {c.format(name=name)}" for m, c in zip(marks, BSD_CLAUSES[:n], strict=False)]
+            tail = BSD_DISCLAIMER.format(all=f"the {party} and contributors", any=f"the {either} or contributors")
+            out.append((f"BSD-{n}-Clause", "\n".join([title, rights, BSD_HEAD, *clauses, tail])))
+    return out
+
+
 # SPDX identifier, digest and length of the canonical form of whole licence texts, with and without title,
 # "All rights reserved", appendix and clause numbers where copies differ in these. KNOWN alone is what the SQL holds.
 WHOLE = (
@@ -59,210 +93,6 @@ WHOLE = (
     ("Apache-2.0", "958d96a93165bf855e5c8741b148490ae2dc4ebd5b44614c4ab58cafd65c8eec", 9858),
     ("Apache-2.0", "ef36af97727268b60fb709836c24580bed9887f649dba6f0fd9ef4b18232fd25", 9926),
     ("Apache-2.0", "4db164cc277b72e3d03f4161513c53b32de1cf3a402162a025e00d038383a74f", 9928),
-    ("BSD-2-Clause", "b7a2aed1fa065cd606a9a031c76bbda14762c5ee42dc79ffd671ad56ff168604", 1174),
-    ("BSD-2-Clause", "107f8ba0af742645bf7864695e36616fbcaa19b8c1ebb01f30fac7dd4011913a", 1178),
-    ("BSD-2-Clause", "0413aafc870ebdb7d3d014b52ad1fdbdebd35716aafd23b2c013600abec8590d", 1187),
-    ("BSD-2-Clause", "e2450ecea76d2edfeb86a8eb6d30882a170d217a6df9b5b332350c6c12d3442a", 1191),
-    ("BSD-2-Clause", "986c3c3199a93b916c8f2e0aeed57819bcbdcb2cd9d99902dcc9d74b53f93a74", 1193),
-    ("BSD-2-Clause", "c5cb44b340dfa97436d18371e401686dddf3451388afa1a24c0e410cd7a38b24", 1194),
-    ("BSD-2-Clause", "f998580832297c54404b07f284b5f1e3a3f47de6af9fa42bbdbf7cf453ae8043", 1194),
-    ("BSD-2-Clause", "90d48255144eaa2455264d0af9ef20ac2d4b728bc2fa878ea3059038a0bba60b", 1195),
-    ("BSD-2-Clause", "a56fee4b2f66331ed54da4950ef9c9391453fd1490b4d8ea202bc29683bcbd30", 1197),
-    ("BSD-2-Clause", "b7d49d651647319f38c254df78d020e1c773cbac121d97b17eb70bf3149e7233", 1198),
-    ("BSD-2-Clause", "df93f02f99d4992b996886a219c3b82d40a5629010e93cf447820f349f77d358", 1198),
-    ("BSD-2-Clause", "c8dfdaf03e5088f3bf1cc5707b510462631176f9b17c1795303b38ceb4dc1fde", 1199),
-    ("BSD-2-Clause", "f70e318812c2186c966e06dbe61de79ef179650c6b6b0763f3571effcefd5ab9", 1199),
-    ("BSD-2-Clause", "80ad0421f0f534e8c876be108e2a472cb774f475ac18f2dd5de5f5777a632ddf", 1203),
-    ("BSD-2-Clause", "22a603ae7ca12ed32433ab981867da4735f74eae59e3da680b1fae36412f6288", 1206),
-    ("BSD-2-Clause", "ccaf7b3ed3b26a1ea677f8501b06ac3d573183033fec83ba7190ba7fc9902e2f", 1206),
-    ("BSD-2-Clause", "7412f7ee502b0e1eddedab2fd96afa36a9b61c563743d2d8318ad5e460bc3264", 1207),
-    ("BSD-2-Clause", "ab41827d163789e8b6041b3db491eab7360c38fb23d225a5ee39b9e8d83815ed", 1207),
-    ("BSD-2-Clause", "d873404919cbc71e0a715d0f2bd267ca90c83465f70b71f472cd8bdf28e56585", 1210),
-    ("BSD-2-Clause", "fa267b21b941fa3a12202db43de930c59e9af469dd6610a3c916546baf9f42e6", 1210),
-    ("BSD-2-Clause", "757641796f5809a5392a06e2ef8ece61190856ca9b6456d50797d190a665d54b", 1211),
-    ("BSD-2-Clause", "f46a2c99d20f17855d0ae246ae25ea347d6fa875cc7856233a810ef0a2e0c8a7", 1211),
-    ("BSD-2-Clause", "957c3854a3d72e069e7f5e48857ad9ab76135f14c70d60fa9ec6ef9a928d45dd", 1213),
-    ("BSD-2-Clause", "23d7258e25bd67982ccec4b5bfc05631a20f8ee5bd5fe7eb70694c100aae88d2", 1214),
-    ("BSD-2-Clause", "bf4cd629bb8a70e349537e8ca530dc88576938ec375a2ede8054a0ebaf7ae836", 1214),
-    ("BSD-2-Clause", "5d123f3d2076a6b22f7b17a92623627ef50d1584e8cf13b7d4040f1c6e8a0424", 1215),
-    ("BSD-2-Clause", "ac9ef06ed60437e7011df1bb3d6d2271e208250a7c75f08f344f125a7b560e31", 1215),
-    ("BSD-2-Clause", "eda2ad636e738f6a26a2fea902bb734ee48c789a5b40035b8db3659bd951e5bc", 1217),
-    ("BSD-2-Clause", "447686a56472ea2e9713ca89034ee666e6646bd1a33eba38690cb875708663e2", 1218),
-    ("BSD-2-Clause", "d9360b475bb35dc9bce111eec4d3be1faa67ed2a3a561f03ad44e73b4993919a", 1218),
-    ("BSD-2-Clause", "e90608a663ae638023eb95a6ae359f7b6b865e6237fa832c48500c4e1af035b9", 1218),
-    ("BSD-2-Clause", "115ad30982769e86a03d5b7cc86db1fae9a9724c68911bd2562ea2f385b841e5", 1219),
-    ("BSD-2-Clause", "33b183a3f00b28db2c851f584380147301f1808f1ce373889663cf3fc5f4c6c2", 1219),
-    ("BSD-2-Clause", "3938f828c79910468f483f925e6a33217162693f71035d6044cbd04dc6fd1bd5", 1219),
-    ("BSD-2-Clause", "8b28f63734bf310903015ecd26ae5c979f31743ca170703b95426d7203774453", 1219),
-    ("BSD-2-Clause", "f9c0de945db946a0b06e8587a80b1b35b3f3e48a0f63cb64860eb4e433d32c7b", 1222),
-    ("BSD-2-Clause", "2bf55e1ee3fec4b4db4be9c854ff5ec0813ee9a78fcec8b4fb32e65cc80514fc", 1223),
-    ("BSD-2-Clause", "4a5b45ed3ca9ae854c5505a774b3659d3852be9a3412b822802b3cdbe5dc7b0a", 1223),
-    ("BSD-2-Clause", "b02d799e391838a73a0ccc75692ba88eafccab18abbd5f907e855d22048655d4", 1225),
-    ("BSD-2-Clause", "1cd2d4d633195ae0e7223a94a138f2ffeb48b5c1e6cbc2bd997dfae4cd96abd6", 1226),
-    ("BSD-2-Clause", "39c9e16877b63be95a6bdbdcb94e74dc2cf345092c76593c68f7bbbf27253cb6", 1226),
-    ("BSD-2-Clause", "695e2a30013b39c36d82479b111921a72908a563d6218a720fddad199d01c28d", 1226),
-    ("BSD-2-Clause", "72ad5e9ff5dc473600726a1e54367c45514b6abb8cad383ef038623240b347f8", 1227),
-    ("BSD-2-Clause", "33903615089fdb3ab02696d1bd92eb9580c2c7a0e0c8714aa95b0dfc1dcdb89c", 1229),
-    ("BSD-2-Clause", "143e302a45a79647d316b211bd39569695ab5b26346d64f031e6829f4bc21840", 1230),
-    ("BSD-2-Clause", "2ca9b831569502f7a564db02c1c455629e3d0cf50a3aba854deb0aeae56ff5bc", 1230),
-    ("BSD-2-Clause", "b5335fc56cb06fb488859427303188fdccfe901752d74938dbb3e63c952746a4", 1230),
-    ("BSD-2-Clause", "db07e60b884ead81df23739c2c467c6b9fb8aca0d485806a4a2765f14b752f3b", 1231),
-    ("BSD-2-Clause", "a11471bc40750a21bd4508891b5626642657a09eaa0ef1ec576be7d37fe5ada8", 1234),
-    ("BSD-2-Clause", "cb19805eac283bd8cea786373cc0e19cabbf15bc4cbd572dc1efb3dbd05ca91d", 1235),
-    ("BSD-2-Clause", "b9578a124b7f83b06b28da656e009d5188b5c664c402b7c018c56cfaeb24b00a", 1238),
-    ("BSD-2-Clause", "f4befedc01589c90d5effeae5f64453726c8fded8e4b6fe6c36f99d303581f1f", 1238),
-    ("BSD-2-Clause", "8906363799dbe7a6aff07f665d7698ad3e34b029f09df3d473bf1118a17a2f1f", 1239),
-    ("BSD-2-Clause", "d8273d18414549823077df21707b29ce7fb0661f8dd82fdb4b3632c3d07901fe", 1239),
-    ("BSD-2-Clause", "218f5b650f149e23f159537f8b1ab16d0ff44722e0038a34bb90a58b3442864a", 1242),
-    ("BSD-2-Clause", "a78184b2c67ed3906485a7e9161d724c95e04261082e06a27869e1753384b18c", 1243),
-    ("BSD-2-Clause", "8e9dce55587c09da7adb0f3cfc5a8497b73e26aad978f536499fc078a7f8892c", 1245),
-    ("BSD-2-Clause", "d69394be0a847fe521c89264bf2e8cf6ecfd61bb44868747d2184929f1ddf3b9", 1246),
-    ("BSD-2-Clause", "7acc61f0bd7743a1042c6d3379cd94a4a424b18f97fc7b342a2253b92e8082dc", 1249),
-    ("BSD-2-Clause", "6b311f1f82b5f7b5a0cc379e40c1da2c2edd9f71c6f479c30628d8b9b27ea691", 1250),
-    ("BSD-3-Clause", "d0a339eb5454123c6a1f2696aace557e0561866f3fe33b93ffad58ecfcab7060", 1355),
-    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651", 1361),
-    ("BSD-3-Clause", "bede4aa57fdf1d7c676c2f22fa0839432b3d423dc298ef754f1720b9cb9fc6a6", 1361),
-    ("BSD-3-Clause", "44593277f32002578dc7b7dd9fb2c040ad1bb03d3f3e9a990822e02c07b16ea1", 1367),
-    ("BSD-3-Clause", "ab96d546e6cc543d5b4293c719e371f5b0d14297d55a21baa6643452a92007ce", 1367),
-    ("BSD-3-Clause", "d34fa857d627ea77dfe0d6f8c4acf1cdf8b1a248b4b36b14be465bdcdda9e8f0", 1368),
-    ("BSD-3-Clause", "6cd2ec4c1707d264427cffd6a4120fb4ce726f221152e3e5c63f8b57d2e1693e", 1373),
-    ("BSD-3-Clause", "963ceda4f0378c69a04250b71e1cdb79a2461911f0265a818c2714167096023d", 1373),
-    ("BSD-3-Clause", "274ca7f4f3bfdc230ff1fec9f47c75578552201bf1582256fbe0112896fd98f4", 1374),
-    ("BSD-3-Clause", "44edd7374ec383b2ab98b7c8dfce2cb1384dd703eac04d9230f6a02164c8aab3", 1374),
-    ("BSD-3-Clause", "7bf5713ca296b08ea88a5ab4dc815cb078bc97d56fec2034952bc7d8ba65b4dd", 1374),
-    ("BSD-3-Clause", "15b03ef135fda7bdc026f239555d663d1b16473622b88f9d3e513e1cfe9a4ecb", 1375),
-    ("BSD-3-Clause", "ed0104d130ef02966836b3c8fb16c58ca9a91d49ed78ed3281531b463296f124", 1375),
-    ("BSD-3-Clause", "4079d1a9108ca437dd29ac26e1f73dbf7bb3b61ba3392438373db7018cf188c3", 1376),
-    ("BSD-3-Clause", "0bc9f536d6ad179d3a73152ec05407cbd8e69bd0d035feebd72a91df20352247", 1379),
-    ("BSD-3-Clause", "02ea4ef5eb23b1344d9c0344c9a6ae67128a7dfd6e86b5b845dca7b7a6822c0a", 1380),
-    ("BSD-3-Clause", "0a693a9b0f9f456ac1a8ead8338f14410fa65b203bbad63be901a84d32b36eaf", 1380),
-    ("BSD-3-Clause", "53075742228962c7ea381b8242c64602fa32e7b8f52facb6d13ee4f9c596ddfa", 1380),
-    ("BSD-3-Clause", "e0a2092139c370f402284efaf452317f36b6cf859e5aadc058eb21b6e63bebeb", 1380),
-    ("BSD-3-Clause", "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9", 1381),
-    ("BSD-3-Clause", "4fec7901c0764f1c632da504aa28d5de5e7e5f0783c88d1e3fd21de4f97e315d", 1381),
-    ("BSD-3-Clause", "fc4fb33ab76235de8e9f690230f0bcf5076ed6d319bf7e355fac01a359f8271e", 1381),
-    ("BSD-3-Clause", "fe6d93c1924e715d2762b6363b22bcf84bf77677d4938e19cb0b7688a4c236df", 1381),
-    ("BSD-3-Clause", "69fcedb70fd1930cb5d773bb71eb605a3aec6362c678302194666d60ca468f71", 1382),
-    ("BSD-3-Clause", "78b4e5f7ae33786641902252e1133eb757db5f5fe08e9371907ffbb6272d3aa1", 1382),
-    ("BSD-3-Clause", "1b9c2fc92ea32d1c705d689163d6e1783efd910af0262514c4185cad11fefe75", 1386),
-    ("BSD-3-Clause", "656d8a9660ef71201ee84e0ecda348f144199677ffa1d99a23b0eeaf4883baba", 1386),
-    ("BSD-3-Clause", "9b83d3dee0616d07b82a272dd9bf5134a9f402b750f5ee6188458073b0a32ff2", 1386),
-    ("BSD-3-Clause", "cf4ce8e62865e260c5d329058a0659e185aaf266f693f6a3146649e17e99de64", 1386),
-    ("BSD-3-Clause", "19c2166d95c6ce0c8779953e0ed36a837c49f83641540452badc9e2c15ad4461", 1387),
-    ("BSD-3-Clause", "58be4a6ecb08608c7ca4f693f84d0c16cc60b34e8f47a0a3555ff27911901613", 1387),
-    ("BSD-3-Clause", "9b9ac51f5ca1f4f99ccf94a0770c77723a9b4a5eaf09e0de3f8c9ec65b1f396d", 1387),
-    ("BSD-3-Clause", "ade12662c564e983a0f25e57ab9fde94bbd8cc6dd5d3c9f0a0171702b37c3c16", 1387),
-    ("BSD-3-Clause", "d1e1fbc595323f5142153708d334c88a40cfdf288f8491af1833d4bfb9c8c774", 1387),
-    ("BSD-3-Clause", "43b1bcf7769e68b80558cc96ddf01a0357ebe5f47be98b4015acd5d39621d681", 1388),
-    ("BSD-3-Clause", "a8aefd2f41c4e09ee4e01ffc7469b6687ca6c1cb5c73d890479ad6f78c432ff9", 1388),
-    ("BSD-3-Clause", "eed107e0fec61f8f41084807334dbca3705d59e476c7f883c7b1e5e0a1cec31e", 1388),
-    ("BSD-3-Clause", "8ba6133c391f099f3936e999218e881ea570d37c2b504821ed3199d4b5421c47", 1391),
-    ("BSD-3-Clause", "5a6e7ec0b1ac1e224277a8a6d5cd7691ea38298b0308b87a7a2e539d020ed1e0", 1392),
-    ("BSD-3-Clause", "82e74b31886dad9cbdb6f57669b85106bf87218c77b53f2aeec5da19bd9ce067", 1392),
-    ("BSD-3-Clause", "d501c9c83cfb8c5cf5edd7e75ce27b6a9d1725ebc3dd329f1e7c3911fe48d5da", 1392),
-    ("BSD-3-Clause", "22293313803f608fe4cf24a6f1419c435d8b8ee43e458011eb2abca759cf571f", 1393),
-    ("BSD-3-Clause", "36fdcbfc8124635e7071d0ed2271bd9cac0cf975002801d50571c15dd8465554", 1393),
-    ("BSD-3-Clause", "5c692cd7a6da0f93739cc5962562c03feea963a4688cda6204065f067f8a8533", 1393),
-    ("BSD-3-Clause", "64ef1cd1b46f769c49eb1567d184feb0accbe0055ec4ae6ae71e1c7e5de2028e", 1393),
-    ("BSD-3-Clause", "84c781b5d7e3445d472ea78f86da8ce1f7cf3f8a699eed9e76e2fde2284fa9b6", 1393),
-    ("BSD-3-Clause", "f19b121668f1951ecb1047bee02a1ad2b0742ee911a109aae244dda9ad8bf9b4", 1393),
-    ("BSD-3-Clause", "12724a2266edf7711e216c85e9d030c86398a6017e7e576995b87c7090890be1", 1394),
-    ("BSD-3-Clause", "25ae1a90081429617a16f5636d4bd8889820c0859cd0a9e123451159f27ed8b4", 1394),
-    ("BSD-3-Clause", "4f8c431c971d670e355968be484975c70966ada9d41a7e0d22ae7202524f37cd", 1394),
-    ("BSD-3-Clause", "8b88fe5cd436a9a4d3e82af9529cfe2656ea0ed422a8a277c28394f0be169af5", 1394),
-    ("BSD-3-Clause", "a7916e93b75cd6c9c0ac1143a1ab1088da910e85199901f3ad7cc33295df562b", 1394),
-    ("BSD-3-Clause", "8c43033e30638dbf655a64e3b9cb5ad496739e3265cd1173bf9de626f4c07b0d", 1395),
-    ("BSD-3-Clause", "cd6f54f8043eb2e58f20b56997704b853109085563d84d6313b655b2804be685", 1395),
-    ("BSD-3-Clause", "2cdd19f933f323a30eebbe32aec8e6b66920a61bb8015563b953e080ecd5fb6c", 1396),
-    ("BSD-3-Clause", "70e29a5acb29bc1a91295cfe0532eed880b869282421182fac73309f47dc34c9", 1396),
-    ("BSD-3-Clause", "76b173bb2a6492f7941f15493bc75af0a3afc02b9cde5cdc0cad10b180455932", 1397),
-    ("BSD-3-Clause", "cff43785e1f6c2f9914dc63db46a2cb86ab62c7d60df5af8cf5b99fdbe53dba5", 1397),
-    ("BSD-3-Clause", "214aa9c28152d6d77e6bebfb4a7511e677f65fdaf94b0fe9c0bb580e0eaf8997", 1398),
-    ("BSD-3-Clause", "19a4781693c27171941c3997100df63b3707e99f2135091c98fb3aba3429a921", 1399),
-    ("BSD-3-Clause", "843c05c711f2c6c18941c8cdab41a4ca8e62648a24e94ee010bfe2c099588ba5", 1399),
-    ("BSD-3-Clause", "c0cc80e9013aae3515c93cc07d3f8ea7593e5f8fb785020bb21f9b21a99672ed", 1399),
-    ("BSD-3-Clause", "fcb1a0c380058f809b25ca0554186822cecbeb28b5371f0da772f68c251ff826", 1399),
-    ("BSD-3-Clause", "007fde9b266f35183b511c8c01994581175bfdaa48438967e905c31fb50ba523", 1400),
-    ("BSD-3-Clause", "1ff3b3240bfd8d2489ef0dbe1e93c248a1ea92c6753dd367dd21dab256a80e21", 1400),
-    ("BSD-3-Clause", "a9387e8ef58f7adf41d686fe6099d7d8081a442198d313756d6f3cbafa9b2bb4", 1400),
-    ("BSD-3-Clause", "d3c826e703903409a9872986b9be88801a6c28027cb8f1a0bda16d9c3bdbf96d", 1400),
-    ("BSD-3-Clause", "dbfec4891b60b9d01102a98d3faa9ce0083d420aa8739251a7f00583dece3f60", 1400),
-    ("BSD-3-Clause", "e74e439a0e4120562bce4a3f58259e0dcf2088a8442213bca7b0eda2832ad2eb", 1400),
-    ("BSD-3-Clause", "3f60f0cdf78f0a92c80fac67aa6cd8641363b5b786d18f78a1122a6db9a6b96b", 1401),
-    ("BSD-3-Clause", "c20bd9e9a48d3165b5e500f6c32225194e99d15723430c8466d4b6390aeb0488", 1401),
-    ("BSD-3-Clause", "f94931e221f919e6cec5ca99e0ea7da1912b2c7d805cdaee8baf508c248bc1af", 1401),
-    ("BSD-3-Clause", "fd12fe7a476142533f7a2cc6ae0f12ed30bf2f661027b73ae69bc05118c1bac8", 1401),
-    ("BSD-3-Clause", "109f433fa6d7ddc201aa2bf2527bac4f38143cdcf2ea093dfa07d89074bec856", 1402),
-    ("BSD-3-Clause", "52488cdfc29bfa2ef46ddfd827785f0ad9e9fd9759af5bebe456aba62c7f867d", 1402),
-    ("BSD-3-Clause", "7c16b387b2fd67aea7403110df9457eea9844b938eda62df5f98a56797001ccf", 1402),
-    ("BSD-3-Clause", "c6a9818755c3e1e0944061752b7d5bd58cd9b0e0338253b19ad20ca48a0a34f5", 1402),
-    ("BSD-3-Clause", "6d8a2d69220d800f01359d3b257543798365c5cb2f56b2f023b3a26d0e1d45de", 1403),
-    ("BSD-3-Clause", "288b16dd057d359a81060ebda0feda90773042673f2755ed83de86dba322bba8", 1405),
-    ("BSD-3-Clause", "326c317935b3409d9750fd4ad5326ce15c9b75d313b4baf2cb9ff54accf8d903", 1405),
-    ("BSD-3-Clause", "1d01c0e5341581b3b1d9b96c6bfb00741041f952cb97f6e9592c9bcc2ec728ff", 1406),
-    ("BSD-3-Clause", "c5e3da532699e38cf476422d333a1294d3c4ea9636bab723d6d2ae7ab6e275ba", 1406),
-    ("BSD-3-Clause", "caf994a964c23bce4eae6836faed999b5e4d89cfdceedda8cec093bcb72efca5", 1406),
-    ("BSD-3-Clause", "da4ef29ad2b72e87dfb232418f89799e96070bae83bab194c479fb81577c5362", 1406),
-    ("BSD-3-Clause", "dd9c572087f92a74232343008a70468eeee08d97112450db549eb0fb33a8d29e", 1406),
-    ("BSD-3-Clause", "eabe215ff5a2cf5b1c090915b7cabdf511f70fc79fb8fde85247ebe3038a9658", 1406),
-    ("BSD-3-Clause", "47f4c1ee0b8be63aaafc75160991de464b79a1c385a83fc92be3643ae99dd283", 1407),
-    ("BSD-3-Clause", "7aea53c0d7a37e67b5b48bc0173358fa13cce6248e39e0f781aa1f29758b4c03", 1407),
-    ("BSD-3-Clause", "960726f6ff0925b2dbe6ea6945f4c93c646a204c822792b0b99e5afb6a176c98", 1407),
-    ("BSD-3-Clause", "cc65957a28f15bbcef5b0c23770aae3bd8462cb25904250f77a812ab3b2efe15", 1407),
-    ("BSD-3-Clause", "28b8d2be6ecd036350552d3e08cd58a101fadf668ea195a63e68a152ed3c165d", 1408),
-    ("BSD-3-Clause", "ec363c23a099b8a0f4289098d0cd988f5487ae2547888d9445253c8e1fefceb4", 1408),
-    ("BSD-3-Clause", "fcfaca9856c9d06723391332be070f14157dc455699d40c8852a50b70f45fada", 1408),
-    ("BSD-3-Clause", "493007603f0253126a011d6ffcc8904a4ad632111f51506fe9dcd54ec01b1bb1", 1410),
-    ("BSD-3-Clause", "1be9f950747887c6b820235c7e4a394f3551fbc740487f0dcfb3c6777863b2cc", 1411),
-    ("BSD-3-Clause", "584a6aefeadf84d442ee9defec05c326cb9a3d0b509b1d6b498681902ff66281", 1411),
-    ("BSD-3-Clause", "73a15ef51d0f74bce7fc4d1287b8d8a639c37581de7f63863957aea115dca7da", 1411),
-    ("BSD-3-Clause", "02cbb88221e507a296bab4438d8c41fc55a45c1e486982b72971ef667bab440e", 1412),
-    ("BSD-3-Clause", "0fd715971b9eef40682d457e9b18f9eb0bdde1b640847b28593e4094f8871915", 1412),
-    ("BSD-3-Clause", "3c6e31d185606dc9ed7d8cd8b05aee82f0e6ff5ca66d11606d3ab045497406f8", 1412),
-    ("BSD-3-Clause", "9112544a284feb6fc4cd8e50541d3a9e2856ccfa29e7e66d376dbdde72933121", 1412),
-    ("BSD-3-Clause", "0b9f0736822843f1e0eecebdce767a38dcf69b59f92c106ec3fe2ee17301a9c3", 1413),
-    ("BSD-3-Clause", "14c74613c04ea95836287e807ac4917f2ed4c10d2e06252eb8e6db7fe57926af", 1413),
-    ("BSD-3-Clause", "6c759e306276d443ed3b7f7d23dc9ee95b46155fe05fb8698914df90721db172", 1413),
-    ("BSD-3-Clause", "e06249dd9b6fef800ed62c09cd288841bc0cb39685b731cded7122df887c01d1", 1413),
-    ("BSD-3-Clause", "5a29317dc0e6cea18900190af72a76431001706bd25260aeebf7ab3a78cb6206", 1414),
-    ("BSD-3-Clause", "c0f31ebf90e95e558d8248b0417e38d894a21aa6c9a420d76882de0aec2d2d7d", 1414),
-    ("BSD-3-Clause", "db493d43eb799fc9a0d232338f9158a2dbf8fe2cbf2a986bf8ec9364fd459611", 1415),
-    ("BSD-3-Clause", "734c53b66b7214ba9433f9e0ae4ceb8d797c62547655f5fb4fd640109dbb1571", 1416),
-    ("BSD-3-Clause", "85a253fdca75357d8f16143d242204d0c291650df54bf470a94c229f0d848c65", 1416),
-    ("BSD-3-Clause", "ba78ed9fd03730d71d3a6bd2fce9fa8318dccdd2bcef97294525377acef720ba", 1416),
-    ("BSD-3-Clause", "1157d7738c8e4b9714da26c13a27d402141a7cfc68c80f72c30fe25698134732", 1417),
-    ("BSD-3-Clause", "41e953a81b97d4d49d183543aff2c7f31e7bffc9548893292f14e70a9bb876f1", 1417),
-    ("BSD-3-Clause", "4bdc4e1cec04e5387f957e15b4e9897485ceb8d5553e1222f04e3758c87251ad", 1417),
-    ("BSD-3-Clause", "ff5b40f7806001889524854b876dcf3a8ad16eece1e6589cf59e2faea72c5e91", 1417),
-    ("BSD-3-Clause", "91ac11f4f00a65b8efdaf9acd840fb61dee7a83cdbd51b27a0939b4188201497", 1418),
-    ("BSD-3-Clause", "348daaa54cca85e4244c864bb00e0f61934e7873062275bcc556f83233aea3d5", 1419),
-    ("BSD-3-Clause", "3d3aa00cd4c03ba994d65a6afb82e790c85e8004bf260cdac9044933d97c2dfc", 1419),
-    ("BSD-3-Clause", "4e9ad430816ef99d7c5e6f810b75a4656b10387721550916a7e39572d8d9f186", 1419),
-    ("BSD-3-Clause", "3f9fda3a38ba2a10f3cd564cdc6050850df3134a4134b62ec47ee467ea84fd73", 1420),
-    ("BSD-3-Clause", "6c04b5ba14baabb47f84448f7fee193f4030d8628ca2f755a9ed49d6c3a27b0f", 1420),
-    ("BSD-3-Clause", "1238550805feaeec7ac6f60c2a1b7b3828c3fb1e9d9d52c718c3b75c7b5ff98e", 1421),
-    ("BSD-3-Clause", "92784a4e0c9136689e30e1e962fafcacf62763a36fc6fc2b8af05fd978094511", 1421),
-    ("BSD-3-Clause", "5787dbd3df382df7472e10d16f6756443147e46d8040bc8c1cb5a8fe0c011be4", 1422),
-    ("BSD-3-Clause", "7b57614be5d1abd5826bb4b7096a1d2f91fdc92e36f49112bf162ea0ced57045", 1422),
-    ("BSD-3-Clause", "e612af111b0f62aac3e107973cd804ade8a118ba3c7034d6824ebdce9852ba2e", 1422),
-    ("BSD-3-Clause", "a65aa119a9ae25139c00daa069f0ba1397cbaf52bc0cb15bce536c93c866827a", 1423),
-    ("BSD-3-Clause", "c461eafdbdc6af57a0dbf3f8ed35c31b6a416f34945b19490cf59ddfc274ae20", 1423),
-    ("BSD-3-Clause", "60f2f6ba1d2895b1cdbedbb82f220ba09c824563bfdc6f02893d8aa22b39d68c", 1425),
-    ("BSD-3-Clause", "da336ff5d6bbb6a30ad59a0dd798c7e6e1e57d719bbb6300725786c3648c658d", 1425),
-    ("BSD-3-Clause", "5a2a789d3e539c6419b99449d506cdb442ff86f4bc70a376a2dbf45467861f83", 1426),
-    ("BSD-3-Clause", "a41e25204ce120d16472a9dbecaa89b58562c3a76aaf8c93fb614d2e15abf9ef", 1426),
-    ("BSD-3-Clause", "cf77ee3d20f4076cecdb58fc53aa7204c9f5c0651621abbc85e028f5b2ffa6b4", 1427),
-    ("BSD-3-Clause", "6e5ff3a5e17bf78bc2302e3f5b9d296c357ef3a5760035e625deb6e953d1e58b", 1428),
-    ("BSD-3-Clause", "010e969ec1b4f0b9dbed6c739853573e773dd79a6ea1a57475d7577ec0e015f4", 1430),
-    ("BSD-3-Clause", "062d3d2ff463d28ce353f94003f7b695f4b02033174e4674f1bf29aca6a4c138", 1431),
-    ("BSD-3-Clause", "07002ede2e559c6e97a5ba89a53d7ded83eda46c54cea64eb39745675c2aabfc", 1431),
-    ("BSD-3-Clause", "39bc19d2e32c4824fe446a931672e4ee8ceee7bf191f76bf6c99140b01c64550", 1432),
-    ("BSD-3-Clause", "1b8e40ae96131e1bfb010d2bfd387a0c40126f751453fc4292a98ab0e6433f24", 1436),
-    ("BSD-3-Clause", "6f5031a260c81332a40e090d5e58e0f0f98977842cb006396c5a55f924874540", 1436),
-    ("BSD-3-Clause", "0a6614b271dc744e5bf9bc48a15881a49dfca32f391b53668e97952e752f1bcd", 1437),
-    ("BSD-3-Clause", "23108758e2e92d798e2eed8493094b3215976176dd57a4a5fd2c6186b24fd1af", 1437),
-    ("BSD-3-Clause", "51d772108bb6e4c0a1d4b6c34089b05ba86e1c6f34ba03f49dc5d2e99acc7b8c", 1442),
-    ("BSD-3-Clause", "7c767f194fe83a647c60b692acb0d747155ff3c4c52b85acf0599e0687b9b29d", 1443),
     ("CC0-1.0", "13a06619caac563ef75dbb6b16c7b185cd8a7255a4c7134aecf15ed03eeb0b9e", 6645),
     ("CC0-1.0", "e91800afc6c48672fba71b29313951a2d91bd4f1e1d61ee386402d621dba7a0a", 6663),
     ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e", 6691),
@@ -340,7 +170,6 @@ WHOLE = (
 # Spellings that are read as one, in the order in which they are replaced.
 EQUIVALENT = (
     ("licence", "license"),
-    ("licenced", "licensed"),
     ("sub license", "sublicense"),
     ("non infringement", "noninfringement"),
     ("merchantibility", "merchantability"),
@@ -377,10 +206,10 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     return rows.groupBy("known_digest").agg(F.min("license_id").alias("license_id"), F.first("n").alias("n"))
 
 
-def scan(docs: DataFrame, known=KNOWN, whole=WHOLE) -> DataFrame:
+def scan(docs: DataFrame, known=KNOWN, whole=WHOLE, made=bsd_texts) -> DataFrame:
     """doc_id, canonical_sha256, license_id of the whole text (or null), line_licenses (sorted ids, comma-joined), n_license_lines."""
     spark = docs.sparkSession
-    table = known_digests(spark, known).collect()  # a fixed list, not data
+    table = known_digests(spark, [*known, *made()]).collect()  # a fixed list, not data
     ids = {d: i for i, d, _ in whole} | {r["known_digest"]: r["license_id"] for r in table}
     sizes = sorted({r["n"] for r in table} | {n for *_, n in whole})
     known_rows = F.broadcast(spark.createDataFrame(list(ids.items()), "known_digest string, license_id string"))
