@@ -7,7 +7,7 @@ SCOPE characters: candidates and parts are interval-joined on the cells of a gri
 being folded to one row of presence and extent first, so that no pairs are formed.
 
 Null texts count as empty and have no spans. Repeated rows give repeated results. An empty table gives an empty
-result. Extra columns are ignored.
+result. Extra columns are ignored. Very long texts are scanned whole; of overlapping kinds all spans are listed, by start, kind and end.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ KINDS = ("assign", "access", "hex", "key", "endpoint")
 #: What each kind is a part of: an identifier, a secret or an endpoint.
 PART = {"assign": "secret", "access": "identifier", "hex": "secret", "key": "secret", "endpoint": "endpoint"}
 
+LINKABLE = "size(parts) > 1 and exists(parts, s -> s.weak)"
 SPAN = "struct<start:int,end:int,kind:int,weak:boolean>"
 
 
@@ -83,7 +84,7 @@ def linked_candidates(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     `parts` has a column parts. A candidate spans the cells from start - scope to end + scope; a part lies in the
     cells it covers. The join is on list and cell; distances are then compared with the nearest part of the cell.
     """
-    lists = parts.filter(F.exists("parts", lambda s: s["weak"]) & (F.size("parts") > 1)).select("parts").distinct()
+    lists = parts.filter(LINKABLE).select("parts").distinct()
     lists = lists.withColumn("list", F.sha2(F.to_json("parts").cast("binary"), 256))
     one = lists.select("list", F.explode("parts").alias("s")).select("list", "s.*")
     roles = F.array(*[F.lit(PART[k]) for k in KINDS])
@@ -96,14 +97,16 @@ def linked_candidates(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     near = (F.col("first") < F.col("end") + scope) & (F.col("last") > F.col("start") - scope)
     links = wanted.join(extent, ["list", "cell"]).filter((F.col("own") != F.col("role")) & near)
     links = links.groupBy("list").agg(F.collect_set(F.struct("start", "end", "kind", F.lit(True).alias("weak"))).alias("linked"))
-    return links.join(lists, "list").select(F.col("parts").alias("_parts"), "linked")
+    return links.join(lists, "list").select(F.col("parts").alias("linked_parts"), "linked")
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked."""
     found = staged(find_parts(docs), "secret-parts")
     links = linked_candidates(found, scope)
-    rows = found.join(links, found["parts"] == links["_parts"], "left")
+    # documents without linkable parts share few lists, the empty one above all: they stay out of the join
+    rows = found.filter(LINKABLE).join(links, F.col("parts") == F.col("linked_parts"), "left").select("doc_id", "parts", "linked")
+    rows = rows.unionByName(found.filter(f"not ({LINKABLE})").withColumn("linked", F.lit(None).cast(f"array<{SPAN}>")))
     base = F.filter("parts", lambda s: ~s["weak"])
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
     linked = F.coalesce("linked", F.array().cast(f"array<{SPAN}>"))
