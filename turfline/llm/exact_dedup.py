@@ -9,7 +9,8 @@ text itself, before any row is called a copy. Should one digest cover different
 text instead.
 
 Null texts count as empty; empty texts are equal to each other. Of equal rows with one doc_id the one with the
-smallest locator stays. A null doc_id ranks below all others. An empty table gives an empty result.
+smallest locator stays. A null doc_id ranks below all others. Very long texts are hashed and compared whole. An empty
+table gives an empty result. Further columns are not read and stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, staging_path, whole_text
+from .common import BROADCAST_ROWS, fresh, staged, staging_path, whole_text
 
 #: Hex digits of a digest in the table that keeps single texts out of the byte check: 16**5 rows at most.
 PREFIX_DIGITS = 5
@@ -92,10 +93,12 @@ def keyed_state(stream: DataFrame, checkpoint: str, sink: str) -> DataFrame:
 def _bytes_checked(docs: DataFrame, hits: DataFrame, digest) -> DataFrame:
     """Rows by digest and full text of the digests that have hits, with what the text's own group keeps."""
     text = whole_text()
-    prefix = lambda c: F.substring(c, 1, PREFIX_DIGITS)
-    few = hits.select(prefix(F.col("digest")).alias("prefix")).distinct()
+    named = lambda c: F.xxhash64(c)
+    if hits.count() > BROADCAST_ROWS:  # then by the first digits of the digest, a table of bounded size
+        named = lambda c: F.substring(c, 1, PREFIX_DIGITS)
+    few = hits.select(named(F.col("digest")).alias("name")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("digest"), text.alias("text"))
-    rows = rows.join(F.broadcast(few), prefix(F.col("digest")) == F.col("prefix"), "left_semi")
+    rows = rows.join(F.broadcast(few), named(F.col("digest")) == F.col("name"), "left_semi")
     return rows.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
@@ -138,17 +141,18 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """
     # written first: else the rows of a hot digest would stay in the one task that the join has dealt them to
     found = staged(decisions(docs).select("doc_id", "digest", "kept"), "dedup-found")
-    keys = found.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    own, key_id, key_digest = fresh(docs, "text_digest", "key_id", "key_digest")
+    keys = found.groupBy(F.col("doc_id").alias(key_id), F.col("digest").alias(key_digest))
     keys = staged(keys.agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")), "dedup-decisions")
-    marked = docs.withColumn("_sha", sha256_of(whole_text()))
+    marked = docs.withColumn(own, sha256_of(whole_text()))
 
     def with_key(rows: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
-        wanted = wanted.select("_id", "_digest")
-        return rows.join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest")), how)
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col(key_id)) & (F.col(own) == F.col(key_digest))
+        return rows.join(wanted.select(key_id, key_digest), same, how)
 
     left = with_key(marked, keys.filter("not stays"), "left_anti")
     twice = keys.filter("stays and n > 1")
     if twice.isEmpty():
-        return left.drop("_sha")
-    many = with_key(left, twice, "left_semi").dropDuplicates(["doc_id", "_sha"])
-    return with_key(left, twice, "left_anti").unionByName(many).drop("_sha")
+        return left.drop(own)
+    many = with_key(left, twice, "left_semi").dropDuplicates(["doc_id", own])
+    return with_key(left, twice, "left_anti").unionByName(many).drop(own)
