@@ -7,7 +7,9 @@ containers, one sample a byte, and are read back through the same sniffing.
 
 Null blobs and texts count as empty; an empty text is stored as 64 zero samples. Blobs without a confirmed signature
 have the type application/octet-stream. Hits inside a confirmed medium are embedded media and are listed too.
-Repeated rows give repeated results. An empty table gives an empty result.
+Very long texts are stored whole, in batches of their own, up to the 4 GB of a container. Ties: of media that begin at
+one place the longest is listed first. Repeated rows give repeated results. An empty table gives an empty result.
+Further columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_as_bytes
+from .common import byte_slices, texts_as_bytes
 
 UNIT = 64
 SAMPLE_RATE = 16_000
@@ -108,21 +110,66 @@ def _bmp(b: bytes, at: int) -> int | None:
     return at + size if reserved == 0 and 54 <= offset < size and header in (40, 108, 124) and at + size <= len(b) else None
 
 
-def _flac(b: bytes, at: int) -> int | None:
-    return len(b) if len(b) >= at + 42 and b[at + 4] & 127 == 0 and b[at + 5 : at + 8] == b"\x00\x00\x22" else None
+def _ogg(b: bytes, at: int) -> int | None:
+    """Pages in sequence, from a first to a last one of one stream."""
+    pos, number, serial = at, 0, None
+    while b[pos : pos + 5] == b"OggS\0" and pos + 27 <= len(b):
+        flags, segments = b[pos + 5], b[pos + 26]
+        own, sequence = b[pos + 14 : pos + 18], int.from_bytes(b[pos + 18 : pos + 22], "little")
+        serial = own if serial is None else serial
+        end = pos + 27 + segments + sum(b[pos + 27 : pos + 27 + segments])
+        if own != serial or sequence != number or (number == 0) != bool(flags & 2) or end > len(b):
+            return None
+        if flags & 4:
+            return end
+        pos, number = end, number + 1
+    return None
 
 
 def _pdf(b: bytes, at: int) -> int | None:
-    end = b.rfind(b"%%EOF", at)
-    return end + 5 if len(b) > at + 7 and b[at + 5 : at + 6].isdigit() and end > at else None
+    """To the first end mark whose cross-reference offset leads to a table or an object of this file."""
+    if not b[at + 5 : at + 6].isdigit():
+        return None
+    following = b.find(b"%PDF-", at + 5)
+    limit = following if following > 0 else len(b)
+    end = b.find(b"%%EOF", at, limit)
+    while end > 0:
+        tail = b[max(at, end - 40) : end].rpartition(b"startxref")[2].strip()
+        if tail.isdigit():
+            to = at + int(tail)
+            if at < to < end and (b[to : to + 4] == b"xref" or b[to : to + 1].isdigit()):
+                return end + 5
+        end = b.find(b"%%EOF", end + 5, limit)
+    return None
+
+
+def _zip_from_end(b: bytes, at: int) -> int | None:
+    """To the first end record whose directory lies where it says, seen from the first entry."""
+    end = b.find(b"PK\5\6", at)
+    while end > 0 and end + 22 <= len(b):
+        size, offset, comment = struct.unpack_from("<IIH", b, end + 12)
+        if at + offset + size == end and b[at + offset : at + offset + 4] == b"PK\1\2" and end + 22 + comment <= len(b):
+            return end + 22 + comment
+        end = b.find(b"PK\5\6", end + 4)
+    return None
 
 
 def _zip(b: bytes, at: int) -> int | None:
-    end = b.rfind(b"PK\x05\x06", at)
-    if end < 0 or len(b) < end + 22:
+    """Local entries by their lengths, then the directory's entries, then the end record that counts them."""
+    pos, entries, listed = at, 0, 0
+    while b[pos : pos + 4] == b"PK\3\4" and pos + 30 <= len(b):
+        flags, (size,), (name, extra) = b[pos + 6], struct.unpack_from("<I", b, pos + 18), struct.unpack_from("<HH", b, pos + 26)
+        if flags & 8 and not size:  # lengths follow the data: the directory, found from its end record, has them
+            return _zip_from_end(b, at)
+        pos, entries = pos + 30 + name + extra + size, entries + 1
+    directory = pos
+    while b[pos : pos + 4] == b"PK\1\2" and pos + 46 <= len(b):
+        pos, listed = pos + 46 + sum(struct.unpack_from("<HHH", b, pos + 28)), listed + 1
+    if b[pos : pos + 4] != b"PK\5\6" or pos + 22 > len(b) or entries != listed:
         return None
-    size, offset, comment = struct.unpack_from("<IIH", b, end + 12)
-    return end + 22 + comment if at + offset + size == end and end + 22 + comment <= len(b) else None
+    count, size, offset, comment = struct.unpack_from("<HIIH", b, pos + 10)
+    end = pos + 22 + comment
+    return end if count == listed and size == pos - directory and at + offset == directory and end <= len(b) else None
 
 
 # Magic bytes and types of the formats, with the validator of each.
@@ -133,7 +180,7 @@ SIGNATURES = (
     (b"GIF89a", "image/gif", _gif),
     (b"\xff\xd8\xff", "image/jpeg", _jpeg),
     (b"BM", "image/bmp", _bmp),
-    (b"fLaC", "audio/flac", _flac),
+    (b"OggS", "application/ogg", _ogg),
     (b"%PDF-", "application/pdf", _pdf),
     (b"PK\x03\x04", "application/zip", _zip),
 )
@@ -202,7 +249,7 @@ def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, declared, media: every text in its container. The declared type is that of the text, not of the container."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches):
             texts = texts_as_bytes(batch)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array(["text/plain"] * len(texts)), pa.array([to_wav(payload_of(t)) for t in texts], pa.binary())],
@@ -215,7 +262,7 @@ def store(docs: DataFrame) -> DataFrame:
 def inspect(media: DataFrame) -> DataFrame:
     """Of a table with doc_id, n_bytes, declared, media: corrected type, what is embedded, samples read back and features."""
 
-    def feature(form: dict, samples: bytes, kind: str, declared: str, embedded: list[Medium]) -> str:
+    def feature(form: dict, samples: bytes, kind: str, declared: str, carved: list[tuple[str, bytes]]) -> str:
         x = np.frombuffer(samples, np.uint8)
         histogram = np.bincount(x, minlength=256)
         n, values = len(x), np.arange(256)
@@ -223,10 +270,11 @@ def inspect(media: DataFrame) -> DataFrame:
         squares = int((histogram * values * values).sum())
         crossings = int(np.count_nonzero((x[1:] >= 128) != (x[:-1] >= 128)))
         parts = [kind, f"was={declared}", f"{form['channels']}ch", f"{form['bits']}bit", f"{form['rate']}Hz", f"n={n}", f"sum={total}", f"squares={squares}", f"crossings={crossings}", f"peak={int(x.max())}"]
-        return ";".join([*parts, f"embedded={'+'.join(f'{m.kind}@{m.start}' for m in embedded)}"])
+        listed = "+".join(f"{kind}:{len(part)}:{zlib.crc32(part):08x}" for kind, part in carved)
+        return ";".join([*parts, f"carved={listed}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, "media"):
             rows = []
             for blob, declared in zip(batch.column("media").to_pylist(), batch.column("declared").to_pylist(), strict=True):
                 found = sniff(blob)
@@ -234,7 +282,7 @@ def inspect(media: DataFrame) -> DataFrame:
                 if kind != "audio/wav":
                     raise ValueError(f"a stored container reads as {kind}")
                 form, samples = from_wav(blob)
-                rows.append((kind, declared != kind, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(blob), hashlib.sha256(blob).hexdigest(), feature(form, samples, kind, declared, found[1:])))
+                rows.append((kind, declared != kind, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(blob), hashlib.sha256(blob).hexdigest(), feature(form, samples, kind, declared, carve(blob, found))))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 8
             types = (pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], NAMES)
