@@ -4,7 +4,9 @@ import io
 import random
 import re
 import struct
+import time
 import wave
+import zipfile
 import zlib
 
 import public_tokenizers as P
@@ -52,6 +54,24 @@ def test_encode_offsets_and_decode(spark):
     assert all(back[i] == (t or "").encode() for i, t in enumerate(TEXTS))
 
 
+def test_other_patterns_go_through_the_library():
+    other = r"\p{L}+|[^\p{L}]"
+    codec = bpe_codec.Codec(RANKS, other)
+    with open(RANKS, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    encoding = tiktoken.Encoding("other", pat_str=other, mergeable_ranks=ranks, special_tokens={})
+    assert bpe.PATTERN == P.PATTERN and not codec.known and bpe_codec.Codec(RANKS, P.PATTERN).known
+    for t in TEXTS:
+        if t and len(t) < 1000:
+            assert codec.encode(t) == encoding.encode_ordinary(t), t
+
+
+def test_memo_is_bounded_at_all_times():
+    memo = bpe.Memo(Tokenizer.from_file(JSON), limit=10)
+    sizes = [len(memo) for word in map(str, range(100)) if memo[word]]
+    assert max(sizes) <= 10
+
+
 def test_byte_table():
     assert len(set(bpe.BYTE_TO_CHAR.values())) == 256
     assert all(bpe.to_bytes(bpe.to_chars(bytes([b]))) == bytes([b]) for b in range(256))
@@ -124,6 +144,31 @@ def test_sniff_confirms_and_carves():
     assert media_sniff.sniff(jpeg) == [("image/jpeg", 0, len(jpeg))]
 
 
+def test_lengths_are_confirmed():
+    page = lambda flags, n, body: b"OggS\0" + bytes([flags]) + bytes(8) + b"abcd" + struct.pack("<I", n) + bytes(4) + bytes([1, len(body)]) + body
+    ogg = page(2, 0, b"head") + page(0, 1, b"more") + page(4, 2, b"last")
+    assert media_sniff.sniff(b"--" + ogg + b"tail") == [("application/ogg", 2, 2 + len(ogg))]
+    assert media_sniff.sniff(ogg[:-1]) == media_sniff.sniff(page(2, 0, b"a") + page(4, 5, b"b")) == []
+    pdf = b"%PDF-1.4\nbody\nxref\n0 0\ntrailer\nstartxref\n14\n%%EOF"
+    assert media_sniff.sniff(pdf + b"\nwords %%EOF") == [("application/pdf", 0, len(pdf))]
+    assert media_sniff.sniff(pdf.replace(b"\n14\n", b"\n15\n")) == [] == media_sniff.sniff(b"%PDF-1.4 of words %%EOF")
+    out = []
+    for names in (["a.txt"], ["b", "c"]):
+        with zipfile.ZipFile(file := io.BytesIO(), "w") as z:
+            for n in names:
+                z.writestr(n, "text " * 9)
+        out.append(file.getvalue())
+    assert [(m.start, m.end) for m in media_sniff.sniff(out[0] + out[1]) if m.kind == "application/zip"][:2] == [(0, len(out[0])), (len(out[0]), len(out[0] + out[1]))]
+    assert media_sniff.sniff(out[0][:-3]) == []
+
+
+def test_long_runs_of_magic_bytes_stay_fast():
+    began = time.perf_counter()
+    for magic, _, _ in media_sniff.SIGNATURES:
+        media_sniff.sniff(magic * 40_000)
+    assert time.perf_counter() - began < 20
+
+
 def test_licences(spark):
     mit = license_scan.KNOWN[6][1]
     texts = ["Copyright (c) 2020 Somebody\n\n" + mit.upper().replace("SUBLICENSE", "sub-licence"), "text\n  released under the MIT licence \nmore", "Released under the MIT License.", None, "", "?!", mit + " but not really", "© 2001\n(c) 1999 x\nAll Rights Reserved", "SPDX-License-Identifier: MIT\nx\nLicensed under CC BY-NC 4.0.\nSPDX-License-Identifier: MIT"]

@@ -2,19 +2,24 @@
 
 Byte-level BPE never merges across pre-tokens, so a text's tokens are those of its pre-tokens in turn. Each worker
 keeps the tokens of the pre-tokens it has met in a memo of bounded size (which takes the place of the library's own
-cache); what is new goes through the tokenizers library. Texts are split in Python by a pattern that equals the library's as long as all characters lie below
-U+0250 or in general punctuation; other texts are split by the library itself.
+cache); what is new goes through the tokenizers library. Texts are split in Python by a pattern that equals PATTERN as
+long as all characters lie below U+0250 or in general punctuation; other texts, and those of tokenizers with another
+pattern, are split by the library itself.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
 MEMO = 400_000
 
+# Fixed value: the pattern that SPLIT stands for.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 #: White space, letters and numbers below U+0250, and in general punctuation, by Unicode's properties.
 _S = r"\t-\r \x85\xa0 -     "
 _L = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -62,9 +67,17 @@ def from_ranks(path: str, pattern: str) -> Tokenizer:
     return tokenizer
 
 
-def pre_tokens(text: str, tokenizer: Tokenizer) -> list[str]:
-    """The pre-tokens of a text, in order; joined they are the text."""
-    if text.isascii() or not _FOREIGN.search(text):
+def splits_like_pattern(tokenizer: Tokenizer) -> bool:
+    """Whether the tokenizer splits by PATTERN: its own byte-level split, or a split by that very pattern."""
+    form = json.loads(tokenizer.pre_tokenizer.__getstate__())
+    parts = form["pretokenizers"] if form["type"] == "Sequence" else [form]
+    names = [(p["type"], p.get("use_regex"), p.get("pattern", {}).get("Regex"), p.get("add_prefix_space")) for p in parts]
+    return names in ([("ByteLevel", True, None, False)], [("Split", None, PATTERN, None), ("ByteLevel", False, None, False)])
+
+
+def pre_tokens(text: str, tokenizer: Tokenizer, known: bool = True) -> list[str]:
+    """The pre-tokens of a text, in order; joined they are the text. `known`: the tokenizer splits by PATTERN."""
+    if known and (text.isascii() or not _FOREIGN.search(text)):
         return SPLIT.findall(text)
     # the library's offsets are in characters; a piece of a character's bytes does not occur before the merges
     return [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
@@ -80,10 +93,7 @@ class Memo(dict):
     def __missing__(self, word: str):
         value = self.make(self._tokenize(to_chars(word.encode())))
         if len(word) <= 64:  # longer ones hardly come again
+            if len(self) >= self.limit:  # forget all rather than grow without bound
+                self.clear()
             self[word] = value
         return value
-
-    def trim(self) -> None:
-        """Between batches: forget all rather than grow without bound."""
-        if len(self) > self.limit:
-            self.clear()

@@ -4,23 +4,24 @@ Texts are mapped byte by byte to characters, encoded by the tokenizers library a
 table over the concatenated tokens, so that a character split between tokens comes back whole. Offsets of tokens
 are offsets in bytes.
 
-Null texts count as empty and have no tokens. Repeated rows give repeated results. An empty table gives an empty
-result.
+Null texts count as empty and have no tokens. Very long texts are encoded whole, in batches of their own. Ties between
+merges go to the lower rank, then to the left. Repeated rows give repeated results. An empty table gives an empty
+result. Further columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bpe
-from .common import texts_as_str
+from .common import byte_slices, texts_as_str
 
 _codecs: dict[tuple[str, str], Codec] = {}
 
@@ -29,21 +30,18 @@ class Codec:
     def __init__(self, path: str, pattern: str) -> None:
         self.tokenizer = bpe.from_ranks(path, pattern)
         self.memo = bpe.Memo(self.tokenizer)
+        self.known = bpe.splits_like_pattern(self.tokenizer)
         self.token_bytes = {i: bpe.to_bytes(t) for t, i in self.tokenizer.get_vocab().items()}
         self.lengths = np.zeros(max(self.token_bytes, default=-1) + 1, np.int64)
         for i, b in self.token_bytes.items():
             self.lengths[i] = len(b)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.memo.__getitem__, bpe.pre_tokens(text, self.tokenizer))))
+        return list(chain.from_iterable(map(self.memo.__getitem__, bpe.pre_tokens(text, self.tokenizer, self.known))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
-    def offsets(self, ids: list[int]) -> list[int]:
-        """Byte offset of each token's end."""
-        return list(accumulate(len(self.token_bytes[i]) for i in ids))
-
 
 def codec(path: str, pattern: str) -> Codec:
     """One codec a worker and vocabulary."""
@@ -52,62 +50,48 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
+def _lists(arrays: list[np.ndarray], kind: type) -> pa.Array:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), np.concatenate([np.zeros(0, kind), *arrays]))
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_bytes, ids, ends: token ids and the byte offsets at which tokens end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
-            texts = texts_as_str(batch)
-            ids = [c.encode(t) for t in texts]
-            ends = [c.offsets(x) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int64()))], ["doc_id", "n_bytes", "ids", "ends"]
-            )
-            c.memo.trim()
+        for batch in byte_slices(batches):
+            ids = [np.array(c.encode(t), np.int32) for t in texts_as_str(batch)]
+            ends = [np.cumsum(c.lengths[x]) for x in ids]
+            n_bytes = np.array([x[-1] if len(x) else 0 for x in ends], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes), _lists(ids, np.int32), _lists(ends, np.int64)], ["doc_id", "n_bytes", "ids", "ends"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, ids array<int>, ends array<long>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and the decoded bytes of a table with doc_id and ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c.decode(x or []) for x in batch.column("ids").to_pylist()], pa.binary())], ["doc_id", "data"])
-
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, data binary")
-
-
-def round_trip(docs: DataFrame, path: str, pattern: str, tokens: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, exact: encoding and decoding in one pass over the texts.
-
-    With `tokens` also ids and ends, as of encode().
-    """
-
-    def lists(arrays: list[np.ndarray], kind: type) -> pa.Array:
-        return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), np.concatenate([np.zeros(0, kind), *arrays]))
+    """The columns of a table with ids, null for none, and the decoded bytes as `data`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            rows, kept = [], []
-            for text in texts_as_str(batch):
-                ids = c.encode(text)
-                data = c.decode(ids)
-                rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(data).hexdigest(), data == text.encode()))
-                if tokens:
-                    kept.append(np.array(ids, np.int32))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            types = (pa.int64(), pa.string(), pa.string(), pa.bool_())
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"]
-            out = [batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))]
-            if tokens:
-                names += ["ids", "ends"]
-                out += [lists(kept, np.int32), lists([np.cumsum(c.lengths[x]) for x in kept], np.int64)]
-            yield pa.RecordBatch.from_arrays(out, names)
-            c.memo.trim()
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean" + (", ids array<int>, ends array<long>" if tokens else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+            column = batch.column("ids")
+            data = pa.array([c.decode(x or []) for x in column.to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, data], [*batch.schema.names, "data"])
+
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("data", T.BinaryType())]))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, ids, ends, ids_sha256, decoded_sha256, exact: what is encoded, and decoded again."""
+    back = decode(encode(docs, path, pattern), path, pattern)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        "ends",
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
+        (F.octet_length("data") == F.col("n_bytes")).alias("exact"),
+    )
