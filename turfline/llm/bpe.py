@@ -15,7 +15,7 @@ import re
 
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
-MEMO = 400_000
+MEMO = 200_000
 
 # Fixed value: the pattern that SPLIT stands for.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -54,36 +54,45 @@ def _lists(arrays: list[np.ndarray], kind: type) -> pa.Array:
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), np.concatenate([np.zeros(0, kind), *arrays]))
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_bytes, ids, ends: token ids and the byte offsets at which tokens end."""
+ENCODED = "doc_id long, n_bytes long, ids array<int>, ends array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for batch in byte_slices(batches):
-            ids = [np.array(c.encode(t), np.int32) for t in texts_as_str(batch)]
-            ends = [np.cumsum(c.lengths[x]) for x in ids]
-            n_bytes = np.array([x[-1] if len(x) else 0 for x in ends], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes), _lists(ids, np.int32), _lists(ends, np.int64)], ["doc_id", "n_bytes", "ids", "ends"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, ids array<int>, ends array<long>")
+def _encoding(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in byte_slices(batches):
+        ids = [np.array(c.encode(t), np.int32) for t in texts_as_str(batch)]
+        ends = [np.cumsum(c.lengths[x]) for x in ids]
+        n_bytes = np.array([x[-1] if len(x) else 0 for x in ends], np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes), _lists(ids, np.int32), _lists(ends, np.int64)], ["doc_id", "n_bytes", "ids", "ends"])
+
+
+def _decoding(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data = pa.array([c.decode(x or []) for x in batch.column("ids").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, data], [*batch.schema.names, "data"])
+
+
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_bytes, ids, ends: token ids and the byte offsets at which tokens end."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: _encoding(codec(path, pattern), batches), ENCODED)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """The columns of a table with ids, null for none, and the decoded bytes as `data`."""
+    schema = T.StructType([*encoded.schema.fields, T.StructField("data", T.BinaryType())])
+    return encoded.mapInArrow(lambda batches: _decoding(codec(path, pattern), batches), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for batch in batches:
-            column = batch.column("ids")
-            data = pa.array([c.decode(x or []) for x in column.to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, data], [*batch.schema.names, "data"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("data", T.BinaryType())]))
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, ids, ends, ids_sha256, decoded_sha256, exact: what is encoded, and decoded again.
+
+    Both ways run in one worker, which then holds one codec.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
+        yield from _decoding(c, _encoding(c, batches))
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, ids, ends, ids_sha256, decoded_sha256, exact: what is encoded, and decoded again."""
-    back = decode(encode(docs, path, pattern), path, pattern)
+    back = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"{ENCODED}, data binary")
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return back.select(
         "doc_id",
