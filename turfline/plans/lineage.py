@@ -11,5 +11,8 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written to the folder that the cluster names for checkpoints; a temporary one is made only where none is."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoint-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and every executor share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()

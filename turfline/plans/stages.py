@@ -59,7 +59,7 @@ def missing_inputs(planned: DataFrame, existing: DataFrame) -> DataFrame:
 def run(spark: SparkSession, root: str, functions: dict[str, Callable[[SparkSession, str], dict[str, DataFrame]]], order: Sequence[str], force_from: str | None = None) -> list[str]:
     """Run stages in order, each writing its tables under root; complete ones are skipped. The names that ran.
 
-    A table is complete when its _SUCCESS marker is there, which the file system of the root is asked for.
+    A table is complete when its _STAGE marker is there, which the file system of the root is asked for.
     """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()

@@ -287,12 +287,12 @@ def possession_summary(v: Views) -> DataFrame:
 @query("clip frame share:d split:i", "tracks calibration0 ball labels0 spine", STATES + """,
 sh as (
   select clip, frame, sum(case when state = 'team_a' then 1 else 0 end) over w / nullif(sum(case when state in ('team_a', 'team_b') then 1 else 0 end) over w, 0)::double as share
-  from states where frame % 3 <> 0 window w as (partition by clip order by frame)
+  from states window w as (partition by clip order by frame)
 ),
 filled as (select s.clip, s.frame, last_value(share ignore nulls) over (partition by s.clip order by s.frame rows between unbounded preceding and current row) as share from spine s left join sh on s.clip = sh.clip and s.frame = sh.frame)
 select clip, frame, share, round_even(least(greatest(share, 0), 1) * 200, 0) as split from filled""")
 def running_share(v: Views) -> DataFrame:
-    return S.running_share(_states(v).filter("frame % 3 <> 0"), v.spine).withColumn("split", S.bar_split("share", 200))
+    return S.running_share(_states(v), v.spine).withColumn("split", S.bar_split("share", 200))
 
 
 @query("clip track_id:i display_id:i", "tracks", """
@@ -403,7 +403,7 @@ def vote_labels(v: Views) -> DataFrame:
 
 
 @query("clip silhouette:d", "samples", """
-with p as (select clip, seq as id, track_id as label, l, a, b from samples where l is not null and seq % 3 = 1),
+with p as (select clip, seq as id, track_id as label, l, a, b from samples where l is not null),
 d as (
   select x.clip, x.id, x.label as li, y.label as lj, avg(sqrt((x.l - y.l) * (x.l - y.l) + (x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b))) as d
   from p x join p y on x.clip = y.clip and x.id <> y.id group by x.clip, x.id, x.label, y.label
@@ -411,7 +411,7 @@ d as (
 s as (select clip, id, min(case when li = lj then d end) as own, min(case when li <> lj then d end) as other from d group by clip, id)
 select clip, avg(case when own is null or other is null then 0 else coalesce((other - own) / nullif(greatest(own, other), 0), 0) end) as silhouette from s group by clip""")
 def silhouette(v: Views) -> DataFrame:
-    points = v.samples.filter("l is not null and seq % 3 = 1").select("clip", F.col("track_id").alias("label"), F.col("seq").alias("track_id"), "l", "a", "b")
+    points = v.samples.filter("l is not null").select("clip", F.col("track_id").alias("label"), F.col("seq").alias("track_id"), "l", "a", "b")
     return M.silhouette(points)
 
 
@@ -587,21 +587,21 @@ def interpolate_gaps(v: Views) -> DataFrame:
 AIR = C.Ball(airborne_min_frames=3, airborne_residual_px=60.0, airborne_curvature_min=0.05, airborne_speed_ms=15.0)
 
 
-@query("clip frame flag", "spine motion0 ball calibration0", f"""with {FILLED},
-seen as (select f.clip, f.frame, case when h0 is not null and not low_confidence then {BX} end as px, case when h0 is not null and not low_confidence then {BY} end as py
+FAST = f"""seen as (select f.clip, f.frame, case when h0 is not null and not low_confidence then {BX} end as px, case when h0 is not null and not low_confidence then {BY} end as py
   from (select * from filled where source = 'detected') f left join calibration0 c on f.clip = c.clip and f.frame = c.frame),
 lagged as (select *, lag(px) over w as qx, lag(py) over w as qy, lag(frame) over w as fr from seen window w as (partition by clip order by frame)),
 fast as (select * from lagged where frame - fr <= 3 and sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy)) / (frame - fr) > 15),
 marked as (select s.clip, s.frame, exists (select 1 from fast t where t.clip = s.clip and s.frame between t.fr and t.frame) as flag from spine s),
 ru as (select *, sum(case when flag is distinct from prev then 1 else 0 end) over (partition by clip order by frame) as run from (select *, lag(flag) over (partition by clip order by frame) as prev from marked) x),
-le as (select *, count(*) over (partition by clip, run) as n from ru)
-select clip, frame, flag and n >= 3 as flag from le""")
+le as (select *, count(*) over (partition by clip, run) as n from ru)"""
+
+
+@query("clip frame flag", "spine motion0 ball calibration0", f"with {FILLED},\n{FAST}\nselect clip, frame, flag and n >= 3 as flag from le")
 def airborne_speed(v: Views) -> DataFrame:
     return B.speed_flags(_filled(v), v.calibration, FPS, AIR)
 
 
-@query("clip frame flag", "spine motion0 ball", f"""with {FILLED},
-pt as (select f.clip, f.frame, (c * (f.y - wy) - s * (f.x - wx)) / (c * c + s * s) as y from filled f join warps w on f.clip = w.clip and f.frame = w.frame where f.source = 'detected'),
+ARC = """pt as (select f.clip, f.frame, (c * (f.y - wy) - s * (f.x - wx)) / (c * c + s * s) as y from filled f join warps w on f.clip = w.clip and f.frame = w.frame where f.source = 'detected'),
 sums as (
   select a.clip, a.frame, count(*) as n, min(b.frame - a.frame) as t0, max(b.frame - a.frame) as t9, regr_count(1, 1) as one,
     sum((b.frame - a.frame)::double) as s1, sum(power(b.frame - a.frame, 2)) as s2, sum(power(b.frame - a.frame, 3)) as s3, sum(power(b.frame - a.frame, 4)) as s4,
@@ -613,13 +613,24 @@ co as (
   select *, (m2 * (s2 * n - s1 * s1) - s3 * (m1 * n - s1 * m0) + s2 * (m1 * s1 - s2 * m0)) / dd as qa, (s4 * (m1 * n - s1 * m0) - m2 * (s3 * n - s1 * s2) + s2 * (s3 * m0 - m1 * s2)) / dd as qb,
     (s4 * (s2 * m0 - m1 * s1) - s3 * (s3 * m0 - m1 * s2) + m2 * (s3 * s1 - s2 * s2)) / dd as qc from de where abs(dd) > 1e-9
 ),
-ok as (select clip, frame from co where qa >= 0.05 and sqrt(greatest(0, yy - qa * m2 - qb * m1 - qc * m0) / n) <= 60 and -qb / (2 * qa) between t0 and t9)
-select s.clip, s.frame, o.frame is not null as flag from spine s left join ok o on s.clip = o.clip and s.frame = o.frame""")
+ok as (select clip, frame from co where qa >= 0.05 and sqrt(greatest(0, yy - qa * m2 - qb * m1 - qc * m0) / n) <= 60 and -qb / (2 * qa) between t0 and t9)"""
+
+
+@query("clip frame flag", "spine motion0 ball", f"with {FILLED},\n{ARC}\nselect s.clip, s.frame, o.frame is not null as flag from spine s left join ok o on s.clip = o.clip and s.frame = o.frame")
 def airborne_parabola(v: Views) -> DataFrame:
     return B.parabola_flags(_filled(v), v.motion, AIR)
 
 
-@query("clip frame airborne source")
+@query("clip frame airborne source", "spine motion0 ball calibration0", f"""with {FILLED},
+{FAST},
+{ARC},
+either as (select l.clip, l.frame, (l.flag and l.n >= 3) or o.frame is not null as flag from le l left join ok o on l.clip = o.clip and l.frame = o.frame),
+r1 as (select *, sum(case when flag is distinct from prev then 1 else 0 end) over (partition by clip order by frame) as run from (select *, lag(flag) over (partition by clip order by frame) as prev from either) x),
+r2 as (select *, count(*) over (partition by clip, run) as n, min(run) over (partition by clip) as lo, max(run) over (partition by clip) as hi from r1),
+r3 as (select clip, frame, flag or (run > lo and run < hi and n <= {AIR.airborne_max_hole}) as flag from r2),
+r4 as (select *, sum(case when flag is distinct from prev then 1 else 0 end) over (partition by clip order by frame) as run from (select *, lag(flag) over (partition by clip order by frame) as prev from r3) x),
+r5 as (select *, count(*) over (partition by clip, run) as n from r4)
+select f.clip, f.frame, flag and n >= {AIR.airborne_min_frames} as airborne, source from filled f join r5 on f.clip = r5.clip and f.frame = r5.frame""")
 def flag_airborne(v: Views) -> DataFrame:
     return B.flag_airborne(_filled(v), v.motion, v.calibration, FPS, AIR)
 
@@ -768,12 +779,11 @@ def holdout_errors(v: Views) -> DataFrame:
     return Q.holdout_errors(points, solved, v.motion, v.spine)
 
 
-ERRORS = "err as (select clip, frame as held_frame, pt_ix, abs(img_x - pitch_x / 0.21) as error_px, abs(img_x * 0.21 - pitch_x) as error_m, pitch_x from anchor_points where pitch_x < 70 or clip <> 'c2')"
+ERRORS = "err as (select clip, frame as held_frame, pt_ix, abs(img_x - pitch_x / 0.21) as error_px, abs(img_x * 0.21 - pitch_x) as error_m, pitch_x from anchor_points)"
 
 
 def _errors(v: Views) -> DataFrame:
-    rows = v.anchor_points.filter("pitch_x < 70 or clip <> 'c2'")
-    return rows.select("clip", F.col("frame").alias("held_frame"), "pt_ix", F.abs(F.col("img_x") - F.col("pitch_x") / 0.21).alias("error_px"), F.abs(F.col("img_x") * 0.21 - F.col("pitch_x")).alias("error_m"), "pitch_x")
+    return v.anchor_points.select("clip", F.col("frame").alias("held_frame"), "pt_ix", F.abs(F.col("img_x") - F.col("pitch_x") / 0.21).alias("error_px"), F.abs(F.col("img_x") * 0.21 - F.col("pitch_x")).alias("error_m"), "pitch_x")
 
 
 @query("clip region n:i median_m:d p90_m:d", "anchor_points", f"""
@@ -803,7 +813,10 @@ def pitch_vertices(v: Views) -> DataFrame:
     return P.vertex_table(v.spark)
 
 
-@query("edge:i a:i b:i length_m:d")
+@query("edge:i a:i b:i length_m:d", "", f"""
+with spots as (select * from (values {", ".join(f"({i}, {x!r}, {y!r})" for i, x, y in P.vertices())}) t(vertex, x, y)),
+edges as (select * from (values {", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(P.EDGES))}) t(edge, a, b))
+select edge, a, b, sqrt(power((q.x - p.x)::double, 2) + power((q.y - p.y)::double, 2)) as length_m from edges join spots p on a = p.vertex join spots q on b = q.vertex""")
 def pitch_edges(v: Views) -> DataFrame:
     return P.edge_table(v.spark)
 
@@ -825,13 +838,23 @@ def minimap_geometry(v: Views) -> DataFrame:
     return P.minimap(v.clips)
 
 
-@query("code b:i g:i r:i ink")
+@query("code b:i g:i r:i ink", "", """
+with codes as (select unnest(['#1e90ff', 'ffd700', '#000000', '#ffffff']) as code),
+parts as (select code, ltrim(code, '#') as d from codes),
+bgr as (select code, ('0x' || substr(d, 5, 2))::int as b, ('0x' || substr(d, 3, 2))::int as g, ('0x' || substr(d, 1, 2))::int as r from parts)
+select *, case when b * 0.114 + g * 0.587 + r * 0.299 > 150 then 'black' else 'white' end as ink from bgr""")
 def hex_colours(v: Views) -> DataFrame:
     rows = v.spark.createDataFrame([("#1e90ff",), ("ffd700",), ("#000000",), ("#ffffff",)], "code string").withColumn("c", K.hex_to_bgr(F.col("code")))
     return rows.select("code", "c.*").withColumn("ink", K.ink_on(F.col("b"), F.col("g"), F.col("r")))
 
 
-@query("clip target_ix:i b:i g:i r:i")
+@query("clip target_ix:i b:i g:i r:i", "palette", """
+with w as (select clip, target_ix, (l * 100 / 255 + 16) / 116 as fy, (a - 128) / 500 as da, (b - 128) / 200 as db from palette),
+f as (select clip, target_ix, list_transform([fy + da, fy, fy - db], lambda t: case when t > 6e0 / 29 then t * t * t else (t - 4e0 / 29) * 3 * power(6e0 / 29, 2) end) as c from w),
+xyz as (select clip, target_ix, c[1] * 0.950456e0 as x, c[2] as y, c[3] * 1.088754e0 as z from f),
+lin as (select clip, target_ix, [x * 0.055648e0 - y * 0.204043e0 + z * 1.057311e0, x * -0.969256e0 + y * 1.875991e0 + z * 0.041556e0, x * 3.240479e0 - y * 1.537150e0 - z * 0.498535e0] as c from xyz),
+lev as (select clip, target_ix, list_transform(c, lambda v: least(greatest(round_even(255 * case when v <= 0.0031308e0 then v * 12.92e0 else power(greatest(v, 0e0), 1 / 2.4e0) * 1.055e0 - 0.055e0 end, 0), 0), 255)) as c from lin)
+select clip, target_ix, c[1] as b, c[2] as g, c[3] as r from lev""")
 def lab_colours(v: Views) -> DataFrame:
     return v.palette.withColumn("c", K.lab_to_bgr(F.col("l"), F.col("a"), F.col("b"))).select("clip", "target_ix", "c.*")
 
@@ -899,13 +922,26 @@ def stage_plan(v: Views) -> DataFrame:
     return T.plan(T.stage_table(v.spark), existing, "project")
 
 
-@query("name file")
+@query("name file", "", f"""
+with s as (select * from (values {", ".join(f"({i}, '{s.name}', {list(s.inputs)!r}, {list(s.outputs)!r}, {str(s.skip_ok).lower()})" for i, s in enumerate(T.STAGES))}) t(ord, name, inputs, outputs, skip_ok)),
+runs as (select * from s where not (skip_ok and list_has_all({list(EXISTING)!r}, outputs))),
+made as (select ord, unnest(outputs) as file from runs),
+wanted as (select ord, name, unnest(inputs) as file from runs)
+select w.name, w.file from wanted w where not list_contains({list(EXISTING)!r}, w.file) and not exists (select 1 from made m where m.file = w.file and m.ord < w.ord)""")
 def missing_inputs(v: Views) -> DataFrame:
     existing = v.spark.createDataFrame([(f,) for f in EXISTING], "file string")
     return T.missing_inputs(T.plan(T.stage_table(v.spark), existing), existing)
 
 
-@query("clip track_id:i role gk_ix:i")
+@query("clip track_id:i role gk_ix:i", "tracks calibration0", f"""
+with pl as ({PROJECTED}),
+z as (select clip, track_id, count(*) filter (x_m < 20 or x_m > 85) / count(*)::double as share, count(*) as n from pl group by clip, track_id),
+h as (select clip, track_id, count(*) as seen, count(*) filter (class_id = 1) as gk from tracks group by clip, track_id),
+m as (select z.*, h.seen, h.gk, z.track_id % 3 as cluster from z join h on z.clip = h.clip and z.track_id = h.track_id),
+sc as (select clip, cluster, sum(share * n) / sum(n) + 0.5 * sum(gk) / sum(seen) as score from m group by clip, cluster),
+rk as (select *, row_number() over (partition by clip order by score desc, cluster) as rn from sc)
+select m.clip, m.track_id, case when score >= 0.3 and rn <= {C.TeamID().max_goalkeepers} then 'goalkeeper' else 'referee' end as role,
+  case when score >= 0.3 and rn <= {C.TeamID().max_goalkeepers} then rn - 1 end as gk_ix from m join rk on m.clip = rk.clip and m.cluster = rk.cluster""")
 def resolve_roles(v: Views) -> DataFrame:
     members = M.goal_zone(J.project_tracks(v.tracks, v.calibration)).join(M.class_histogram(v.tracks), ["clip", "track_id"])
     return M.resolve_roles(members.withColumn("cluster", (F.col("track_id") % 3).cast("int")), C.TeamID(gk_zone_frac=0.3))

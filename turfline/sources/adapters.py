@@ -1,7 +1,8 @@
 """Tracking tables derived from the general tables `events` and `embeddings`.
 
 Each view is one SQL text that Spark and DuckDB both read; the few differences are written out under DIALECT. A
-clip is a third of the users, a frame an hour of the month.
+clip is fifty users (for colour samples, 250 vectors), a frame an hour of the month: the number of clips grows with the
+tables, what a clip holds does not.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 FRAMES = 720
 
 DIALECT = {
-    "spark": {"events": "{events}", "embeddings": "{embeddings}", "series": "select explode(sequence(0L, {n}L - 1)) as i", "e0": "embedding[0]", "e1": "embedding[1]", "e2": "embedding[2]"},
-    "duckdb": {"events": "events", "embeddings": "embeddings", "series": "select unnest(range(0, {n})) as i", "e0": "embedding[1]", "e1": "embedding[2]", "e2": "embedding[3]"},
+    "spark": {"bucket": "user_id div 50", "batch": "vec_id div 250", "events": "{events}", "embeddings": "{embeddings}", "series": "select explode(sequence(0L, {n}L - 1)) as i", "e0": "embedding[0]", "e1": "embedding[1]", "e2": "embedding[2]"},
+    "duckdb": {"bucket": "user_id // 50", "batch": "vec_id // 250", "events": "events", "embeddings": "embeddings", "series": "select unnest(range(0, {n})) as i", "e0": "embedding[1]", "e1": "embedding[2]", "e2": "embedding[3]"},
 }
 
 #: Parameters of a frame's homography; none of them ends, so that products do not fall on the edges of rounding.
@@ -21,12 +22,12 @@ H = ("0.2112345678e0 + frame / 97123e0", "(frame % 5) / 997e0", "0.4987654321e0"
 
 VIEWS = {
     "ev": ("", """
-        select event_id, event_type, user_id, concat('c', cast(user_id % 3 as string)) as clip,
+        select event_id, event_type, user_id, concat('c', cast(<bucket> as string)) as clip,
                cast((day(ts) - 1) * 24 + hour(ts) as bigint) as frame,
                cast(round(value * 100) as bigint) as cents, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k
         from <events>"""),
     "frames": ("", "select cast(i as bigint) as frame from (<series:720>) s"),
-    "clips": ("", "select concat('c', cast(i as string)) as clip, 640 as width, 360 as height, 1e0 as fps, cast(720 - i * 100 as bigint) as frame_count from (<series:3>) s"),
+    "clips": ("", "select concat('c', cast(i as string)) as clip, 640 as width, 360 as height, 1e0 as fps, cast(720 - i % 3 * 100 as bigint) as frame_count from (select distinct <bucket> as i from <events>) s"),
     "spine": ("clips frames", "select clip, frame from clips cross join frames"),
     "detections": ("ev", """
         select clip, frame, cast(row_number() over (partition by clip, frame order by event_id) as int) as det_ix,
@@ -72,13 +73,13 @@ VIEWS = {
                cast(case when track_id < 3 then 0 when track_id < 6 then 1 when track_id = 6 then 0 else -1 end as int) as team, 0.5e0 + track_id / 20e0 as confidence
         from tracks0"""),
     "samples": ("", """
-        select concat('c', cast(label % 2 as string)) as clip, cast(label as bigint) as track_id, vec_id as seq,
+        select concat('c', cast(<batch> as string)) as clip, cast(label as bigint) as track_id, vec_id as seq,
                case when vec_id % 7 <> 0 then round(128 + 100 * cast(<e0> as double), 3) end as l,
                case when vec_id % 7 <> 0 then round(128 + 100 * cast(<e1> as double), 3) end as a,
                case when vec_id % 7 <> 0 then round(128 + 100 * cast(<e2> as double), 3) end as b
         from <embeddings>"""),
     "palette": ("", """
-        select concat('c', cast(s.i as string)) as clip, t.* from (<series:2>) s cross join (
+        select concat('c', cast(s.i as string)) as clip, t.* from (select distinct <batch> as i from <embeddings>) s cross join (
           select 0 as target_ix, 'team_a' as role, 0 as team, 135e0 as l, 120e0 as a, 130e0 as b
           union all select 1, 'team_b', 1, 118e0, 133e0, 126e0
           union all select 2, 'goalkeeper', 0, 128e0, 140e0, 138e0
@@ -89,9 +90,9 @@ VIEWS = {
 
 def text(name: str, dialect: str) -> str:
     words, out = DIALECT[dialect], VIEWS[name][1]
-    for n in (2, 3, 14, 720):
+    for n in (14, 720):
         out = out.replace(f"<series:{n}>", words["series"].replace("{n}", str(n)))
-    for k in ("events", "embeddings", "e0", "e1", "e2"):
+    for k in ("bucket", "batch", "events", "embeddings", "e0", "e1", "e2"):
         out = out.replace(f"<{k}>", words[k])
     return out
 
