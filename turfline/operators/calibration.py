@@ -18,6 +18,8 @@ from turfline.operators import runs
 from turfline.plans.lineage import cut
 
 KEY = ["clip", "frame"]
+#: How many frames of most jitter, and clicks of largest residual, a report lists.
+WORST_FRAMES, WORST_CLICKS = 5, 3
 
 
 # --- fits -------------------------------------------------------------------------------------------------------
@@ -264,7 +266,7 @@ def anchor_quality(points: DataFrame, solved: DataFrame, cfg: C.Calibration = C.
     )
     by = by.withColumns({"inlier_ratio": F.col("n_inliers") / F.col("n_points"), "reaches_left": F.col("x_min") <= cfg.end_zone_m, "reaches_right": F.col("x_max") >= pitch.length - cfg.end_zone_m})
     reach = F.when(F.col("reaches_left") & F.col("reaches_right"), "BOTH").when(F.col("reaches_left"), "LEFT").when(F.col("reaches_right"), "RIGHT").otherwise("neither")
-    return by.select(*KEY, "n_points", "n_inliers", "inlier_ratio", "median_residual_m", "x_min", "x_max", "reaches_left", "reaches_right", reach.alias("end_reach"), F.transform("bad", lambda b: b["pt_ix"]).alias("outlier_indices"))
+    return by.select(*KEY, "n_points", "n_inliers", "inlier_ratio", "median_residual_m", "x_min", "x_max", "reaches_left", "reaches_right", reach.alias("end_reach"), F.transform("bad", lambda b: b["pt_ix"]).alias("outlier_indices"), F.transform(F.slice("bad", 1, WORST_CLICKS), lambda b: b["pt_ix"]).alias("worst_clicks"))
 
 
 def jitter(calibration: DataFrame, motion: DataFrame, pitch: C.Pitch = C.Pitch()) -> DataFrame:
@@ -275,12 +277,11 @@ def jitter(calibration: DataFrame, motion: DataFrame, pitch: C.Pitch = C.Pitch()
     rows = rows.withColumn("m", G.lift(F.col("gmc")))
     before = F.when(F.lag("frame").over(order) == F.col("frame") - 1, F.lag("inv").over(order))
     rows = rows.withColumn("before", before).filter("before is not null and inv is not null")
-    moves = []
-    for x, y in P.control_points(pitch):
-        a, b = G.project(F.col("before"), F.lit(x), F.lit(y)), G.project(F.col("inv"), F.lit(x), F.lit(y))
-        carried = G.project(F.col("m"), a["x"], a["y"])
-        moves.append(G.distance(carried["x"], carried["y"], b["x"], b["y"]))
-    rows = rows.withColumn("d", F.array_sort(F.array(*moves)))
+    apart = lambda p, q: G.distance(p["x"], p["y"], q["x"], q["y"])
+    carried = lambda c: G.let(G.project(F.col("before"), c["x"], c["y"]), lambda a: G.project(F.col("m"), a["x"], a["y"]))
+    moved = lambda c: G.let(carried(c), lambda p: G.let(G.project(F.col("inv"), c["x"], c["y"]), lambda q: apart(p, q)))
+    points = F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in P.control_points(pitch)])
+    rows = rows.withColumn("d", F.array_sort(F.transform(points, moved)))
     return rows.select(*KEY, ((F.col("d")[2] + F.col("d")[3]) / 2).alias("residual_px"))
 
 
@@ -290,7 +291,8 @@ def jitter_summary(residuals: DataFrame, cfg: C.Calibration = C.Calibration()) -
         F.count(F.lit(1)).alias("n"), F.median("residual_px").alias("median_px"), F.percentile("residual_px", F.lit(0.9)).alias("p90_px"), F.max("residual_px").alias("max_px"),
         F.array_sort(F.collect_list(F.when(F.col("residual_px") > cfg.jitter_noise_px, F.struct((-F.col("residual_px")).alias("k"), F.col("frame"))))).alias("worst"),
     )
-    return by.withColumn("worst_frames", F.transform("worst", lambda w: w["frame"])).drop("worst")
+    by = by.withColumn("worst_frames", F.transform("worst", lambda w: w["frame"])).drop("worst")
+    return by.withColumn("worst_listed", F.slice("worst_frames", 1, WORST_FRAMES))
 
 
 def anchor_coverage(clips: DataFrame, anchors: DataFrame, max_gap: int = 150) -> DataFrame:
@@ -378,6 +380,32 @@ def holdout_summary(errors: DataFrame) -> DataFrame:
     )
 
 
+def holdout_by_anchor(errors: DataFrame) -> DataFrame:
+    """clip, held_frame, seeded_from, fused_with, points, median_m, p90_m, median_px: one row per held-out anchor."""
+    return errors.groupBy("clip", "held_frame", "seeded_from", "fused_with").agg(
+        F.count(F.lit(1)).alias("points"), F.median("error_m").alias("median_m"), F.percentile("error_m", F.lit(0.9)).alias("p90_m"), F.median("error_px").alias("median_px")
+    )
+
+
+def anchor_gaps(anchors: DataFrame) -> DataFrame:
+    """clip, frame, gap: frames from each labelled frame to the one before it; the first has none."""
+    order = Window.partitionBy("clip").orderBy("frame")
+    return anchors.select(*KEY).distinct().select(*KEY, (F.col("frame") - F.lag("frame").over(order)).alias("gap"))
+
+
+def provenance_block(clips: DataFrame, anchors: DataFrame, sources: DataFrame) -> DataFrame:
+    """clip, video, anchors, anchors_sha256_12, clip_frame_count, anchor_frames, anchor_gaps: what a calibration was made of.
+
+    `sources` has clip, video, anchors and fingerprint. A clip without anchors has empty lists.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("frame", "gap")))
+    by = anchor_gaps(anchors).groupBy("clip").agg(listed.alias("g"))
+    rows = clips.select("clip", "frame_count").join(sources, "clip").join(by, "clip", "left")
+    frames = F.coalesce(F.transform("g", lambda x: x["frame"]), F.array().cast("array<long>"))
+    gaps = F.coalesce(F.transform(F.filter("g", lambda x: x["gap"].isNotNull()), lambda x: x["gap"]), F.array().cast("array<long>"))
+    return rows.select("clip", "video", "anchors", F.col("fingerprint").alias("anchors_sha256_12"), F.col("frame_count").alias("clip_frame_count"), frames.alias("anchor_frames"), gaps.alias("anchor_gaps"))
+
+
 def check_gate(summary: DataFrame, gate_median_m: float | None) -> DataFrame:
     """clip, failure: medians that are not finite fail, as do those above the gate; equality passes; no gate, no failure."""
     if gate_median_m is None:

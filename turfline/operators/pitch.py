@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turfline import config as C
+from turfline.functions import geometry as G
 
 # Sizes that do not follow the pitch's length and width, in metres.
 PENALTY_DEPTH, PENALTY_WIDTH, GOAL_DEPTH, GOAL_WIDTH, SPOT, CIRCLE = 16.5, 40.32, 5.5, 18.32, 11.0, 9.15
@@ -67,6 +68,43 @@ def padded_boundary(spark: SparkSession, margin: float, step: float = 1.0, pitch
     return rows.select("side", "seq", (F.col("ax") + (F.col("bx") - F.col("ax")) * t).alias("x_m"), (F.col("ay") + (F.col("by") - F.col("ay")) * t).alias("y_m"))
 
 
+def polylines(spark: SparkSession, pitch: C.Pitch = C.Pitch(), circle: int = 48) -> DataFrame:
+    """line, kind, seq, x_m, y_m: the straight edges, the centre circle and what the boxes leave of the penalty arcs."""
+    at = {v: (x, y) for v, x, y in vertices(pitch)}
+    straight = [(i, "edge", seq, *at[v]) for i, ends in enumerate(EDGES) for seq, v in enumerate(ends)]
+    out = spark.createDataFrame(straight, "line int, kind string, seq int, x_m double, y_m double")
+    round_ = [(len(EDGES), "circle", pitch.length / 2, 0.0, 2 * math.pi, circle, 1.0)]
+    beyond = (PENALTY_DEPTH - SPOT) / CIRCLE
+    if beyond < 1:
+        half, n = math.acos(max(beyond, -1.0)), max(circle // 4, 8) - 1
+        round_ += [(len(EDGES) + 1, "arc", SPOT, -half, half, n, 1.0), (len(EDGES) + 2, "arc", pitch.length - SPOT, -half, half, n, -1.0)]
+    rows = spark.createDataFrame(round_, "line int, kind string, cx double, low double, high double, n int, side double")
+    rows = rows.withColumn("seq", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    angle = F.col("low") + (F.col("high") - F.col("low")) * F.col("seq") / F.col("n")
+    return out.unionByName(rows.select("line", "kind", "seq", (F.col("cx") + F.cos(angle) * F.col("side") * CIRCLE).alias("x_m"), (F.sin(angle) * CIRCLE + pitch.width / 2).alias("y_m")))
+
+
+def outline_in_image(calibration: DataFrame, margin: float = 1.0, step: float = 1.0, pitch: C.Pitch = C.Pitch()) -> DataFrame:
+    """clip, frame, side, seq, x, y: the widened outline in each frame's image.
+
+    Points on the horizon go, and those on its far side: what lies there has a denominator of another sign than the
+    median of the frame. Frames with fewer than three points have no outline.
+    """
+    points = padded_boundary(calibration.sparkSession, margin, step, pitch).agg(F.array_sort(F.collect_list(F.struct("side", "seq", "x_m", "y_m"))).alias("points"))
+    rows = calibration.filter("h is not null").select("clip", "frame", G.mat_inv(F.col("h")).alias("inv")).crossJoin(F.broadcast(points))  # one row of points
+
+    def place(p: Column) -> Column:
+        at = G.project(F.col("inv"), p["x_m"], p["y_m"])
+        return F.struct(p["side"].alias("side"), p["seq"].alias("seq"), at["x"].alias("x"), at["y"].alias("y"), G.denominator(F.col("inv"), p["x_m"], p["y_m"]).alias("w"))
+
+    placed = F.filter(F.transform("points", place), lambda p: F.abs(p["w"]) > G.EPS)
+    rows = rows.select("clip", "frame", placed.alias("placed")).withColumn("ordered", F.array_sort(F.transform("placed", lambda p: p["w"])))
+    middle = F.get("ordered", ((F.size("ordered") - 1) / 2).cast("int")) + F.get("ordered", (F.size("ordered") / 2).cast("int"))
+    rows = rows.withColumn("side_of", F.signum(middle)).select("clip", "frame", F.filter("placed", lambda p: F.signum(p["w"]) == F.col("side_of")).alias("placed"))
+    rows = rows.filter(F.size("placed") >= 3).select("clip", "frame", F.explode("placed").alias("p"))
+    return rows.select("clip", "frame", "p.side", "p.seq", "p.x", "p.y")
+
+
 def minimap(clips: DataFrame, share: float = 0.25, margin_share: float = 0.025, gap_share: float = 0.03, pitch: C.Pitch = C.Pitch()) -> DataFrame:
     """clip, panel_w, panel_h, scale, margin, x0, y0 of a panel at the foot of the frame; an error where it does not fit."""
     panel = F.bround(F.col("width") * share).cast("int")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turfline import config as C
+
 
 def frame_range(frames: DataFrame, start: int = 0, stop: int | None = None, stride: int = 1) -> DataFrame:
     """Frames of [start, stop) at the stride."""
@@ -40,6 +42,34 @@ def letterbox(brightness: DataFrame, threshold: float = 20.0, most: float = 0.3)
     return by.select("clip", "axis", lead.alias("lead"), trail.alias("trail"))
 
 
+def resolve_crop(clips: DataFrame, brightness: DataFrame | None = None, io: C.IO = C.IO()) -> DataFrame:
+    """clips with crop_top, crop_bottom, crop_left, crop_right: the bars found by `letterbox`, or the configured crop.
+
+    A clip without brightness has no bars.
+    """
+    edges = ("crop_top", "crop_bottom", "crop_left", "crop_right")
+    if not io.auto_letterbox:
+        return crop(clips.withColumns({e: F.lit(getattr(io, e)) for e in edges}))
+    if brightness is None:
+        raise ValueError("bars are found by the brightness of sampled frames")
+    bars = letterbox(brightness, io.letterbox_threshold)
+    side = lambda axis, at: F.coalesce(F.max(F.when(F.col("axis") == axis, F.col(at))), F.lit(0)).cast("int")
+    found = bars.groupBy("clip").agg(side("row", "lead").alias(edges[0]), side("row", "trail").alias(edges[1]), side("column", "lead").alias(edges[2]), side("column", "trail").alias(edges[3]))
+    return crop(clips.join(found, "clip", "left").withColumns({e: F.coalesce(e, F.lit(0)) for e in edges}))
+
+
+def shift_into_crop(rows: DataFrame, crops: DataFrame, xs: tuple[str, ...] = ("x1", "x2"), ys: tuple[str, ...] = ("y1", "y2")) -> DataFrame:
+    """Rows with their pixel columns counted from the corner of their clip's crop."""
+    edges = crops.select(F.col("clip"), F.col("crop_left").alias("from_left"), F.col("crop_top").alias("from_top"))
+    moved = rows.join(edges, "clip").withColumns({x: F.col(x) - F.col("from_left") for x in xs} | {y: F.col(y) - F.col("from_top") for y in ys})
+    return moved.select(*rows.columns)
+
+
+def named_frames(frames: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The frames that `wanted` (clip, frame) names; each once, however often it is named."""
+    return frames.join(wanted.select("clip", "frame"), ["clip", "frame"], "left_semi")
+
+
 def crop(clips: DataFrame) -> DataFrame:
     """Adds crop_w, crop_h; a crop that leaves nothing is an error."""
     w, h = F.col("width") - F.col("crop_left") - F.col("crop_right"), F.col("height") - F.col("crop_top") - F.col("crop_bottom")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +30,22 @@ STAGES = (
 )
 
 
+def build_stages(ball_weights_required: bool = True) -> tuple[Stage, ...]:
+    """The stages; without weights of its own the ball is found by the players' detector, and none are waited for."""
+    if ball_weights_required:
+        return STAGES
+    return tuple(replace(s, inputs=tuple(i for i in s.inputs if i != "external:ball_weights")) for s in STAGES)
+
+
+def check_registry(functions: dict, stages: Sequence[Stage] = STAGES) -> None:
+    """An error if a stage has no function, or a function no stage."""
+    names = {s.name for s in stages}
+    if missing := names - set(functions):
+        raise ValueError(f"stages without a function: {sorted(missing)}")
+    if unknown := set(functions) - names:
+        raise ValueError(f"functions of no stage: {sorted(unknown)}")
+
+
 def stage_table(spark: SparkSession, stages: Sequence[Stage] = STAGES) -> DataFrame:
     return spark.createDataFrame([(i, s.name, list(s.inputs), list(s.outputs), s.skip_ok) for i, s in enumerate(stages)], "ord int, name string, inputs array<string>, outputs array<string>, skip_ok boolean")
 

@@ -5,6 +5,7 @@ A query's columns are listed once: `x:d` is a double, rounded to six places on b
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,10 @@ from turfline.operators import stitch as L
 from turfline.operators import teams as M
 from turfline.operators import video as V
 from turfline.plans import stages as T
+from turfline.plans.lineage import shared_folder
+from turfline.sources import files as X
 from turfline.sources.adapters import Views, with_clause
+from turfline.streaming import tracker as online
 
 POSSESSION = C.Possession(radius_m=25.0, acquire_frames=2, max_ball_speed_mps=60.0, max_unknown_s=3.0)
 STITCH = C.Stitch(max_gap_s=30.0, v_max_ms=2.0, pos_sigma_m=15.0, max_link_cost=1.5, velocity_window_s=3.0, min_tracklet_s=2.0, short_fragment_max_gap_s=10.0, overlap_tolerance_s=4.0)
@@ -757,6 +761,11 @@ def _solved(v: Views) -> tuple[DataFrame, DataFrame]:
     return points, Q.solve_anchors(points)
 
 
+@query("clip frame row_ix:i track_id:i x1:d y1:d x2:d y2:d class_id:i")
+def track_players(v: Views) -> DataFrame:
+    return online.track_players(v.detections, v.spine, v.calibration, v.motion)
+
+
 @query("clip frame h0:d inliers:i total:i reproj_err_px:d")
 def solve_anchors(v: Views) -> DataFrame:
     return _solved(v)[1].withColumn("h0", F.col("h")[0])
@@ -802,9 +811,119 @@ def holdout_summary(v: Views) -> DataFrame:
     return Q.holdout_summary(_errors(v))
 
 
+@query("clip held_frame:i points:i median_m:d p90_m:d median_px:d", "anchor_points", f"""
+with {ERRORS}
+select clip, held_frame, count(*) as points, median(error_m) as median_m, quantile_cont(error_m, 0.9) as p90_m, median(error_px) as median_px from err group by clip, held_frame""")
+def holdout_by_anchor(v: Views) -> DataFrame:
+    return Q.holdout_by_anchor(_errors(v).withColumns({"seeded_from": F.lit(None).cast("long"), "fused_with": F.lit(None).cast("long")}))
+
+
+@query("clip frame gap:i", "anchors", "select clip, frame, frame - lag(frame) over (partition by clip order by frame) as gap from anchors")
+def anchor_gaps(v: Views) -> DataFrame:
+    return Q.anchor_gaps(v.anchors)
+
+
+@query("clip video anchors_sha256_12 clip_frame_count:i frames gaps", "clips anchors", """
+with g as (select clip, frame, frame - lag(frame) over (partition by clip order by frame) as gap from anchors),
+l as (select clip, string_agg(frame::varchar, ',' order by frame) as frames, string_agg(gap::varchar, ',' order by frame) as gaps from g group by clip)
+select c.clip, c.clip || '.mp4' as video, substr(sha256(c.clip), 1, 12) as anchors_sha256_12, c.frame_count as clip_frame_count, coalesce(frames, '') as frames, coalesce(gaps, '') as gaps
+from clips c left join l on c.clip = l.clip""")
+def provenance(v: Views) -> DataFrame:
+    sources = v.clips.select("clip", F.concat("clip", F.lit(".mp4")).alias("video"), F.concat("clip", F.lit(".json")).alias("anchors"), F.substring(F.sha2("clip", 256), 1, 12).alias("fingerprint"))
+    block = Q.provenance_block(v.clips, v.anchors, sources)
+    return block.withColumns({"frames": F.array_join("anchor_frames", ","), "gaps": F.array_join("anchor_gaps", ",")})
+
+
 # --- pitch, colours, frames, stages ---
 
 
+@query("line:i kind seq:i x_m:d y_m:d", "", f"""
+with spots as (select * from (values {", ".join(f"({i}, {x!r}, {y!r})" for i, x, y in P.vertices())}) t(vertex, x, y)),
+ends as (select * from (values {", ".join(f"({i}, {k}, {e})" for i, edge in enumerate(P.EDGES) for k, e in enumerate(edge))}) t(line, seq, vertex)),
+curves as (select * from (values (33, 'circle', 52.5, 0e0, 2 * pi(), 48, 1), (34, 'arc', 11, -acos(5.5e0 / 9.15e0), acos(5.5e0 / 9.15e0), 11, 1), (35, 'arc', 94, -acos(5.5e0 / 9.15e0), acos(5.5e0 / 9.15e0), 11, -1)) t(line, kind, cx, low, high, n, side)),
+steps as (select c.*, i as seq, low + (high - low) * i / n::double as angle from curves c cross join (select unnest(range(0, 49)) as i) s where i <= n)
+select * from (select line, 'edge' as kind, seq, x as x_m, y as y_m from ends join spots on ends.vertex = spots.vertex union all select line, kind, seq, cx + cos(angle) * side * 9.15e0, 34 + sin(angle) * 9.15e0 from steps) u""")
+def pitch_polylines(v: Views) -> DataFrame:
+    return P.polylines(v.spark)
+
+
+@query("clip frame side:i seq:i x:d y:d", "calibration0", f"""
+with inv as (select clip, frame, {_inverse_sql()} from calibration0 where h0 is not null),
+sides as (select * from (values (0,-3,-3,108,-3,3),(1,108,-3,108,71,2),(2,108,71,-3,71,3),(3,-3,71,-3,-3,2)) t(side, ax, ay, bx, by_, n)),
+pts as (select side, i as seq, ax + (bx - ax) * i / n::double as px, ay + (by_ - ay) * i / n::double as py from sides cross join (select unnest(range(0, 200)) as i) s where i < n),
+w as (select *, g6 * px + g7 * py + g8 as w from inv cross join pts),
+m as (select clip, frame, sign(median(w)) as sg from w where abs(w) > 1e-9 group by clip, frame),
+k as (select w.*, count(*) over (partition by w.clip, w.frame) as n from w join m on w.clip = m.clip and w.frame = m.frame where abs(w) > 1e-9 and sign(w) = sg)
+select clip, frame, side, seq, (g0 * px + g1 * py + g2) / w as x, (g3 * px + g4 * py + g5) / w as y from k where n >= 3""")
+def pitch_outline(v: Views) -> DataFrame:
+    return P.outline_in_image(v.calibration, 3.0, 40.0)
+
+
+@query("clip frame", "spine anchors", "select s.clip, s.frame from spine s where exists (select 1 from anchors a where a.clip = s.clip and a.frame = s.frame)")
+def named_frames(v: Views) -> DataFrame:
+    return V.named_frames(v.spine, v.anchors)
+
+
+@query("clip frame det_ix:i x1:d y1:d x2:d y2:d", "detections", """
+with b as (select clip, cast(floor(y2) as bigint) as ix, case when y2 < 12 or y2 > 90 then 10 else x2 end as mean from detections),
+l as (select clip, ix, max(mean) as top from b group by clip, ix),
+g as (select clip, min(ix) filter (top >= 20) as first, max(ix) + 1 as n from l group by clip),
+c as (select clip, least(coalesce(first, n), floor(n * 0.3::double)) as top from g)
+select d.clip, d.frame, det_ix, x1, y1 - top as y1, x2, y2 - top as y2 from detections d join c on d.clip = c.clip""")
+def crop_boxes(v: Views) -> DataFrame:
+    y = F.col("y2")
+    mean = F.when((y < 12) | (y > 90), 10.0).otherwise(F.col("x2"))
+    crops = V.resolve_crop(v.clips, v.detections.select("clip", F.lit("row").alias("axis"), F.floor(y).cast("long").alias("ix"), mean.alias("mean")))
+    return V.shift_into_crop(v.detections, crops)
+
+
+# --- formats: written and read again ---
+
+
+def _again(v: Views, name: str, write, read, rows: DataFrame) -> DataFrame:
+    path = f"{shared_folder(v.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    write(rows, path)
+    return read(path)
+
+
+@query("clip track_id:i role team:i confidence:d", "labels0", "select clip, track_id, role, team, confidence from labels0")
+def teams_file(v: Views) -> DataFrame:
+    rows = v.labels.withColumns({"n_samples": F.lit(5).cast("long"), "n_rejected": F.lit(1).cast("long")})
+    return _again(v, "teams", X.write_teams, lambda p: _clips(X.read_teams(v.spark, f"{p}/*/*.csv")), rows)
+
+
+@query("clip frame track_id:i x_m:d y_m:d reliable", "tracks calibration0", f"with pl as ({PROJECTED})\nselect clip, frame, track_id, round(x_m, 3) as x_m, round(y_m, 3) as y_m, reliable from pl")
+def positions_file(v: Views) -> DataFrame:
+    return _again(v, "positions", X.write_positions, lambda p: _clips(X.read_positions(v.spark, f"{p}/*/*.csv")), J.project_tracks(v.tracks, v.calibration))
+
+
+@query("clip frame state track_id:i", "tracks calibration0 ball labels0", STATES + "\nselect * from states")
+def possession_file(v: Views) -> DataFrame:
+    return _again(v, "possession", X.write_possession, lambda p: _clips(X.read_possession(v.spark, f"{p}/*/*.csv")), _states(v))
+
+
+@query("clip frame h0:d h4:d source low_confidence inliers:i reproj_err_px:d", "calibration0", "select clip, frame, h0, h4, source, low_confidence, inliers, reproj_err_px from calibration0")
+def calibration_file(v: Views) -> DataFrame:
+    rows = _again(v, "calibration", X.write_calibration, lambda p: X.read_calibration(v.spark, p), v.calibration)
+    return rows.withColumns({"h0": F.col("h")[0], "h4": F.col("h")[4]})
+
+
+@query("clip target_ix:i role team:i l:d a:d b:d", "palette", "select clip, target_ix, role, team, l, a, b from palette")
+def palette_file(v: Views) -> DataFrame:
+    return X.read_palette(X.palette_json(v.palette.withColumn("reject_radius", F.lit(20.0))))
+
+
+@query("clip frame pt_ix:i img_x:d img_y:d pitch_x:d pitch_y:d vertex:i exclude", "anchor_points", "select clip, frame, pt_ix, img_x, img_y, pitch_x, pitch_y, vertex, exclude from anchor_points")
+def anchors_file(v: Views) -> DataFrame:
+    write = lambda rows, path: X.anchors_json(rows).repartition("clip").write.partitionBy("clip").text(path)
+    return _again(v, "anchors", write, lambda p: _clips(X.read_anchors(v.spark, f"{p}/*/*.txt")), v.anchor_points)
+
+
+def _clips(rows: DataFrame) -> DataFrame:
+    """Folders are named clip=...: the name alone."""
+    return rows.withColumn("clip", F.regexp_replace("clip", "^clip=", ""))
+
+
 @query("vertex:i x_m:d y_m:d", "", """
 select * from (values (1,0,0),(2,0,13.84),(3,0,24.84),(4,0,43.16),(5,0,54.16),(6,0,68),(7,5.5,24.84),(8,5.5,43.16),(9,11,34),(10,16.5,13.84),(11,16.5,24.84),(12,16.5,43.16),(13,16.5,54.16),
  (14,52.5,0),(15,52.5,24.85),(16,52.5,43.15),(17,52.5,68),(18,88.5,13.84),(19,88.5,24.84),(20,88.5,43.16),(21,88.5,54.16),(22,94,34),(23,99.5,24.84),(24,99.5,43.16),

@@ -6,6 +6,11 @@ the name of the file's folder.
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,13 +67,16 @@ def _write_csv(rows: DataFrame, path: str, keys: list[str], names: list[str]) ->
     rows.repartition("clip").sortWithinPartitions("clip", *keys).select("clip", *names).write.mode("overwrite").partitionBy("clip").csv(path, header=True, emptyValue="", nullValue="")
 
 
-def _first(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.dropDuplicates(keys)
+def _last(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows of one key the last line of the file."""
+    others = [c for c in rows.columns if c not in keys]
+    last = rows.withColumn("line", F.monotonically_increasing_id()).groupBy(*keys).agg(F.max_by(F.struct(*others), "line").alias("r"))
+    return last.select(*keys, "r.*").select(*rows.columns)
 
 
 def read_ball(spark: SparkSession, path: str, clip: str | None = None) -> DataFrame:
-    """Rows without x or y have no position."""
-    rows = _csv(spark, path, BALL, clip)
+    """Rows without x or y have no position; of several rows of a frame the last one counts."""
+    rows = _last(_csv(spark, path, BALL, clip), ["clip", "frame"])
     there = F.col("x").isNotNull() & F.col("y").isNotNull()
     return rows.select("clip", "frame", F.when(there, F.col("x")).alias("x"), F.when(there, F.col("y")).alias("y"), "source", F.col("airborne").cast("boolean").alias("airborne"), "confidence")
 
@@ -137,6 +145,45 @@ def read_calibration(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({"h": h, "source": F.element_at(F.array(*[F.lit(s) for s in SOURCE_CODES]), F.col("source") + 1)})
 
 
+CALIBRATION = "clip string, frame bigint, h array<double>, source string, low_confidence boolean, gmc array<double>, inliers int, reproj_err_px double"
+
+
+def _archives(spark: SparkSession, path: str, clip: str | None) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select(_clip(clip).alias("clip"), "content")
+
+
+def read_calibration_archive(spark: SparkSession, path: str, clip: str | None = None) -> DataFrame:
+    """calibration rows of compressed array archives (.npz), one a clip; a homography with a value that is not a number is none."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["clip"], batch["content"], strict=True):
+                with np.load(io.BytesIO(content)) as data:
+                    a = {k: data[k] for k in ("frame_idx", "H", "gmc", "source", "low_confidence", "inliers", "reproj_err_px")}
+                n = len(a["frame_idx"])
+                h, gmc = a["H"].reshape(n, 9).astype(float), a["gmc"].reshape(n, 6).astype(float)
+                yield pd.DataFrame({
+                    "clip": [name] * n, "frame": a["frame_idx"].astype("int64"), "h": [None if np.isnan(x).any() else x for x in h], "source": [SOURCE_CODES[int(k)] for k in a["source"]],
+                    "low_confidence": a["low_confidence"].astype(bool), "gmc": list(gmc), "inliers": a["inliers"].astype("int32"), "reproj_err_px": a["reproj_err_px"].astype(float),
+                })
+
+    return _archives(spark, path, clip).mapInPandas(unpack, CALIBRATION)
+
+
+def read_frame_shape(spark: SparkSession, path: str, clip: str | None = None) -> DataFrame:
+    """clip, height, width of the frames a calibration was fitted in; null where the archive does not say."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["clip"], batch["content"], strict=True):
+                with np.load(io.BytesIO(content)) as data:
+                    rows.append((name, *(map(int, data["frame_shape"]) if "frame_shape" in data else (None, None))))
+            yield pd.DataFrame(rows, columns=["clip", "height", "width"]).astype({"height": "Int32", "width": "Int32"})
+
+    return _archives(spark, path, clip).mapInPandas(unpack, "clip string, height int, width int")
+
+
 def read_anchors(spark: SparkSession, path: str, clip: str | None = None) -> DataFrame:
     """anchor_points of a labelling file {frames: {"<frame>": [{image, pitch, vertex, exclude}]}}.
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turfline import config as C
+from turfline.operators import projection
 from turfline.operators.stitch import assign
 
 TRACKS = "clip string, frame long, row_ix int, track_id long, x1 double, y1 double, x2 double, y2 double, confidence double, class_id int"
@@ -90,6 +91,17 @@ def _run(clip: str, pdf: pd.DataFrame, last: int, tracks: Tracks) -> tuple[pd.Da
     return pd.DataFrame(out, columns=["clip", "frame", "row_ix", "track_id", *BOX, "confidence", "class_id"]), last
 
 
+def track_players(detections: DataFrame, spine: DataFrame, calibration: DataFrame, motion: DataFrame, cfg: C.Tracking = C.Tracking(), pitch: C.Pitch = C.Pitch()) -> DataFrame:
+    """tracks of raw detections: people of enough confidence on the field, associated along the camera's motion.
+
+    Every frame of the spine counts, so that a frame without detections ages the tracks.
+    """
+    people = projection.foot_points(detections, (C.GOALKEEPER, C.PLAYER, C.REFEREE), cfg.min_conf).select(*detections.columns)
+    people = projection.off_field_mask(people, calibration, cfg.mask_margin_m, {C.REFEREE: cfg.mask_margin_referee_m}, pitch)
+    rows = spine.select("clip", "frame").join(motion.select("clip", "frame", "gmc"), ["clip", "frame"], "left").join(people, ["clip", "frame"], "left")
+    return track(rows.select("clip", "frame", "det_ix", *BOX, "confidence", "class_id", "gmc"), cfg)
+
+
 def track(detections: DataFrame, cfg: C.Tracking = C.Tracking()) -> DataFrame:
     """tracks of detections with clip, frame, det_ix, x1 to y2, confidence, class_id and gmc (null: no motion).
 
