@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, fresh, staged, staging_path, whole_text
+from .common import BROADCAST_ROWS, cleared, fresh, staged, staging_path, whole_text
 
 #: Hex digits of a digest in the table that keeps single texts out of the byte check: 16**5 rows at most.
 PREFIX_DIGITS = 5
@@ -139,11 +139,12 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
     Rows are found again by doc_id and digest. Of equal rows with one doc_id any one stays.
     """
-    # written first: else the rows of a hot digest would stay in the one task that the join has dealt them to
-    found = staged(decisions(docs).select("doc_id", "digest", "kept"), "dedup-found")
     own, key_id, key_digest = fresh(docs, "text_digest", "key_id", "key_digest")
-    keys = found.groupBy(F.col("doc_id").alias(key_id), F.col("digest").alias(key_digest))
-    keys = staged(keys.agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")), "dedup-decisions")
+    with cleared(docs.sparkSession) as keep:
+        # written first: else the rows of a hot digest would stay in the one task that the join has dealt them to
+        found = staged(decisions(docs).select("doc_id", "digest", "kept"), "dedup-found")
+        keys = found.groupBy(F.col("doc_id").alias(key_id), F.col("digest").alias(key_digest))
+        keys = keep(keys.agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")), "dedup-decisions")
     marked = docs.withColumn(own, sha256_of(whole_text()))
 
     def with_key(rows: DataFrame, wanted: DataFrame, how: str) -> DataFrame:

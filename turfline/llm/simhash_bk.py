@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingle_sets
-from .common import byte_slices, small_side, staged, texts_as_bytes, without_ids
+from .common import byte_slices, cleared, small_side, staged, texts_as_bytes, without_ids
 
 SHINGLE = 3
 RADIUS = 3
@@ -270,20 +270,26 @@ def similar_groups(docs: DataFrame, shingle: int = shingle_sets.SHINGLE, radius:
     found = near.join(name("a"), "a").join(name("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
     same = nodes.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     posts = staged(shingle_sets.posts_of(once), "similar-posts")
-    next_to = shingle_sets.candidates(posts.withColumn("c", F.col("node")), shingle_sets.chained, run_rows)
+    shared = shingle_sets.shared_posts(posts.select("n", "node", F.col("node").alias("c"), F.posexplode("prefix").alias("place", "h")))
+    next_to = shingle_sets.candidates(shared, shingle_sets.chained, run_rows)
     pairs = found.unionByName(same).unionByName(next_to).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     joined = staged(shingle_sets.verified(staged(pairs, "similar-pairs"), once).filter("alike").select("a", "b"), "similar-joined")
     label = staged(components(joined), "similar-labels").select(F.col("node").alias("at"), "label")
-    posts = staged(posts.join(small_side(label), F.col("node") == F.col("at"), "left").select("node", "n", "prefix", F.coalesce("label", "node").alias("c")), "similar-posts")
-    clusters = components(shingle_sets.candidates(posts, shingle_sets.spanned, run_rows)).select("node", F.col("label").alias("cluster"))
-    clusters = staged(clusters.join(posts.select("node", "n", "c"), "node"), "similar-clusters")
+    label = small_side(label)
+    # a shingle of one text alone has gone for good: what is left is looked at by the groups there are now
+    shared = shared.drop("c").join(label, F.col("node") == F.col("at"), "left").select("h", "n", "node", "place", F.coalesce("label", "node").alias("c"))
+    shared = shingle_sets.shared_posts(shared)
+    clusters = components(shingle_sets.candidates(shared, shingle_sets.spanned, run_rows)).select("node", F.col("label").alias("cluster"))
+    clusters = staged(clusters.join(shared.select("node", "n", "c").distinct(), "node"), "similar-clusters")
     more = staged(shingle_sets.cluster_links(clusters, once, elements), "similar-more")
     return _named(slim, "node", staged(components(joined.unionByName(more)), "similar-labels"))
 
 
-def _first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return without_ids(docs, staged(gone, "groups-gone"))
+def _first_of_each(docs: DataFrame, grouped, **options) -> DataFrame:
+    with cleared(docs.sparkSession) as keep:
+        gone = grouped(docs, **options).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+        gone = keep(gone, "groups-gone")
+    return without_ids(docs, gone)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -291,9 +297,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Rows of a null doc_id stay only if their whole group has no id; rows that repeat the kept doc_id all stay.
     """
-    return _first_of_each(docs, groups(docs, **options))
+    return _first_of_each(docs, groups, **options)
 
 
 def keep_one_similar(docs: DataFrame, **options) -> DataFrame:
     """As keep_one, of each group of similar shingle sets."""
-    return _first_of_each(docs, similar_groups(docs, **options))
+    return _first_of_each(docs, similar_groups, **options)
