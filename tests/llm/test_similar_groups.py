@@ -48,7 +48,7 @@ def test_groups_match_all_pairs(spark):
     rng.shuffle(rows)
     want = sorted(brute(rows), key=str)
     assert len({c for _, c in want}) < len({i for i, _ in want})
-    for options in ({"run_rows": 3, "tree_nodes": 4, "elements": 400}, {}):
+    for options in ({"run_rows": 3, "short_rows": 1, "tree_nodes": 4, "elements": 400}, {"short_rows": 4}):
         found = simhash_bk.similar_groups(table(spark, rows), **options)
         assert sorted(((r.doc_id, r.component_id) for r in found.collect()), key=str) == want
     assert simhash_bk.similar_groups(table(spark, [])).count() == 0
@@ -93,7 +93,7 @@ def test_clusters_are_complete():
         k = 40
         size, place, group = np.sort(rng.integers(5, 40, k)), rng.integers(0, 3, k), rng.integers(0, 8, k)
         found = [(i, j) for a, b in shingle_sets.spanned(size, place, group) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-        want = [(i, j) for i in range(k) for j in range(i) if group[i] != group[j] and 9 * min(size[i] - place[i], size[j] - place[j]) >= 4 * (size[i] + size[j])]
+        want = [(i, j) for i in range(k) for j in range(i) if group[i] != group[j] and shingle_sets.may_be_alike(size[i], place[i], size[j], place[j])]
         assert spans(k, found) == spans(k, want) and len(found) < k
 
 

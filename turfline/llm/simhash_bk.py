@@ -250,7 +250,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tree_n
     return _named(slim, "fp", label)
 
 
-def similar_groups(docs: DataFrame, shingle: int = shingle_sets.SHINGLE, radius: int = RADIUS, tree_nodes: int = TREE_NODES, run_rows: int = shingle_sets.RUN, elements: int = shingle_sets.ELEMENTS) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = shingle_sets.SHINGLE, radius: int = RADIUS, tree_nodes: int = TREE_NODES, run_rows: int = shingle_sets.RUN, short_rows: int = shingle_sets.SHORT, elements: int = shingle_sets.ELEMENTS) -> DataFrame:
     """doc_id, node, component_id: one row per row of docs; groups are linked by a Jaccard similarity of 4/5 or more.
 
     The BK-trees over the fingerprints of the shingle sets come first: each of their links is compared exactly, as are
@@ -273,14 +273,18 @@ def similar_groups(docs: DataFrame, shingle: int = shingle_sets.SHINGLE, radius:
     shared = shingle_sets.shared_posts(posts.select("n", "node", F.col("node").alias("c"), F.posexplode("prefix").alias("place", "h")))
     next_to = shingle_sets.candidates(shared, shingle_sets.chained, run_rows)
     pairs = found.unionByName(same).unionByName(next_to).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    joined = staged(shingle_sets.verified(staged(pairs, "similar-pairs"), once).filter("alike").select("a", "b"), "similar-joined")
+    pairs = staged(pairs, "similar-pairs")
+    joined = staged(shingle_sets.verified(pairs, once).filter("alike").select("a", "b"), "similar-joined")
     label = staged(components(joined), "similar-labels").select(F.col("node").alias("at"), "label")
     label = small_side(label)
     # a shingle of one text alone has gone for good: what is left is looked at by the groups there are now
     shared = shared.drop("c").join(label, F.col("node") == F.col("at"), "left").select("h", "n", "node", "place", F.coalesce("label", "node").alias("c"))
     shared = shingle_sets.shared_posts(shared)
-    clusters = components(shingle_sets.candidates(shared, shingle_sets.spanned, run_rows)).select("node", F.col("label").alias("cluster"))
-    clusters = staged(clusters.join(shared.select("node", "n", "c").distinct(), "node"), "similar-clusters")
+    short, long = shingle_sets.by_length(shared, short_rows)
+    apart = staged(shingle_sets.candidates(short, shingle_sets.counted, run_rows).join(pairs, ["a", "b"], "left_anti"), "similar-pairs")
+    joined = joined.unionByName(staged(shingle_sets.verified(apart, once).filter("alike").select("a", "b"), "similar-joined"))
+    clusters = components(shingle_sets.candidates(long, shingle_sets.spanned, run_rows)).select("node", F.col("label").alias("cluster"))
+    clusters = staged(clusters.join(long.select("node", "n", "c").distinct(), "node"), "similar-clusters")
     more = staged(shingle_sets.cluster_links(clusters, once, elements), "similar-more")
     return _named(slim, "node", staged(components(joined.unionByName(more)), "similar-labels"))
 
