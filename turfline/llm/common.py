@@ -45,7 +45,9 @@ def cleared(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         out = staged(df, name)
-        _written[-1].pop()
+        path = _written[-1].pop()
+        if len(_written) > 1:
+            _written[-2].append(path)
         return out
 
     try:
@@ -57,6 +59,12 @@ def cleared(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
             at.getFileSystem(conf).delete(at, True)
 
 
+def step(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make(), staged; what was staged on the way is deleted."""
+    with cleared(spark) as keep:
+        return keep(make(), name)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back."""
     spark = df.sparkSession

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingle_sets
-from .common import byte_slices, cleared, small_side, staged, texts_as_bytes, without_ids
+from .common import byte_slices, cleared, small_side, staged, step, texts_as_bytes, without_ids
 
 SHINGLE = 3
 RADIUS = 3
@@ -265,28 +265,42 @@ def similar_groups(docs: DataFrame, shingle: int = shingle_sets.SHINGLE, radius:
     # one row carries each set
     once = sets.join(small_side(repeats), F.col("node") == F.col("at"), "left").filter("first is null or first = row").select("node", "fp", "shingles")
     heads = staged(nodes.groupBy("fp").agg(F.min("node").alias("head")), "similar-heads")
-    near = links(heads.select("fp"), radius, tree_nodes)
+    spark = docs.sparkSession
     name = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_head"))
+    near = step(spark, lambda: links(heads.select("fp"), radius, tree_nodes), "similar-near")
     found = near.join(name("a"), "a").join(name("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
     same = nodes.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    posts = staged(shingle_sets.posts_of(once), "similar-posts")
-    shared = shingle_sets.shared_posts(posts.select("n", "node", F.col("node").alias("c"), F.posexplode("prefix").alias("place", "h")))
-    next_to = shingle_sets.candidates(shared, shingle_sets.chained, run_rows)
+
+    def posted() -> DataFrame:
+        posts = staged(shingle_sets.posts_of(once), "similar-posts")
+        return shingle_sets.shared_posts(posts.select("n", "node", F.col("node").alias("c"), F.posexplode("prefix").alias("place", "h")))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return step(spark, lambda: shingle_sets.verified(pairs, once).filter("alike").select("a", "b"), "similar-joined")
+
+    first = step(spark, posted, "similar-shared")
+    next_to = step(spark, lambda: shingle_sets.candidates(first, shingle_sets.chained, run_rows), "similar-next")
     pairs = found.unionByName(same).unionByName(next_to).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = staged(pairs, "similar-pairs")
-    joined = staged(shingle_sets.verified(pairs, once).filter("alike").select("a", "b"), "similar-joined")
-    label = staged(components(joined), "similar-labels").select(F.col("node").alias("at"), "label")
-    label = small_side(label)
-    # a shingle of one text alone has gone for good: what is left is looked at by the groups there are now
-    shared = shared.drop("c").join(label, F.col("node") == F.col("at"), "left").select("h", "n", "node", "place", F.coalesce("label", "node").alias("c"))
-    shared = shingle_sets.shared_posts(shared)
-    short, long = shingle_sets.by_length(shared, short_rows)
-    apart = staged(shingle_sets.candidates(short, shingle_sets.counted, run_rows).join(pairs, ["a", "b"], "left_anti"), "similar-pairs")
-    joined = joined.unionByName(staged(shingle_sets.verified(apart, once).filter("alike").select("a", "b"), "similar-joined"))
-    clusters = components(shingle_sets.candidates(long, shingle_sets.spanned, run_rows)).select("node", F.col("label").alias("cluster"))
-    clusters = staged(clusters.join(long.select("node", "n", "c").distinct(), "node"), "similar-clusters")
-    more = staged(shingle_sets.cluster_links(clusters, once, elements), "similar-more")
-    return _named(slim, "node", staged(components(joined.unionByName(more)), "similar-labels"))
+    joined = linked(pairs)
+
+    def regrouped() -> DataFrame:
+        # a shingle of one text alone has gone for good: what is left is looked at by the groups there are now
+        label = staged(components(joined), "similar-labels").select(F.col("node").alias("at"), "label")
+        rows = first.drop("c").join(small_side(label), F.col("node") == F.col("at"), "left").select("h", "n", "node", "place", F.coalesce("label", "node").alias("c"))
+        return shingle_sets.shared_posts(rows)
+
+    short, long = shingle_sets.by_length(step(spark, regrouped, "similar-shared"), short_rows)
+    apart = step(spark, lambda: shingle_sets.candidates(short, shingle_sets.counted, run_rows).join(pairs, ["a", "b"], "left_anti"), "similar-apart")
+    joined = joined.unionByName(linked(apart))
+
+    def clustered() -> DataFrame:
+        clusters = components(shingle_sets.candidates(long, shingle_sets.spanned, run_rows)).select("node", F.col("label").alias("cluster"))
+        clusters = staged(clusters.join(long.select("node", "n", "c").distinct(), "node"), "similar-clusters")
+        return shingle_sets.cluster_links(clusters, once, elements)
+
+    joined = joined.unionByName(step(spark, clustered, "similar-more"))
+    return _named(slim, "node", step(spark, lambda: components(joined), "similar-labels"))
 
 
 def _first_of_each(docs: DataFrame, grouped, **options) -> DataFrame:
