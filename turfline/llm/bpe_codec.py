@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import byte_slices, texts_as_str
+from .common import byte_slices, map_batches, texts_as_str
 
 _codecs: dict[tuple[str, str], Codec] = {}
 
@@ -73,13 +73,13 @@ def _decoding(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_bytes, ids, ends: token ids and the byte offsets at which tokens end."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: _encoding(codec(path, pattern), batches), ENCODED)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda batches: _encoding(codec(path, pattern), batches), ENCODED)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """The columns of a table with ids, null for none, and the decoded bytes as `data`."""
     schema = T.StructType([*encoded.schema.fields, T.StructField("data", T.BinaryType())])
-    return encoded.mapInArrow(lambda batches: _decoding(codec(path, pattern), batches), schema)
+    return map_batches(encoded, lambda batches: _decoding(codec(path, pattern), batches), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -92,7 +92,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         c = codec(path, pattern)
         yield from _decoding(c, _encoding(c, batches))
 
-    back = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"{ENCODED}, data binary")
+    back = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, f"{ENCODED}, data binary")
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return back.select(
         "doc_id",

@@ -103,7 +103,7 @@ def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
-#: Bytes of text that a Python worker turns into one output batch.
+#: Bytes of rows that a Python worker is given at once, and of text that it turns into one output batch.
 SLICE_BYTES = 4 << 20
 
 
@@ -119,6 +119,17 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             at = stop
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow, its batches bounded by bytes as well as by rows: 10,000 long texts at once would fill a worker.
+
+    The bound is a setting of the session, which is read when the plan runs: it stays, unless the session has one of its own.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(SLICE_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, texts_as_bytes
+from .common import byte_slices, map_batches, texts_as_bytes
 
 UNIT = 64
 SAMPLE_RATE = 16_000
@@ -256,7 +256,7 @@ def store(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_bytes", "declared", "media"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, declared string, media binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, declared string, media binary")
 
 
 def inspect(media: DataFrame) -> DataFrame:
@@ -289,7 +289,7 @@ def inspect(media: DataFrame) -> DataFrame:
 
     NAMES = ["doc_id", "n_bytes", "media_type", "corrected", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     schema = "doc_id long, n_bytes long, media_type string, corrected boolean, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.mapInArrow(run, schema)
+    return map_batches(media, run, schema)
 
 
 def store_and_inspect(docs: DataFrame) -> DataFrame:

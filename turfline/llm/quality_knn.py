@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, byte_slices, fold, staged, texts_as_bytes, without_ids, word_bounds
+from .common import WordHasher, byte_slices, fold, map_batches, staged, texts_as_bytes, without_ids, word_bounds
 
 #: Buckets of the shapes and of the words, and the weight of the words against the shapes.
 SHAPES, WORDS = 2048, 8192
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, max_labelled: int =
                 packed.append(at.astype("<u2").tobytes() + c[at].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "quality", "terms"])
 
-    found = rows.mapInArrow(run, "doc_id long, quality int, terms binary")
+    found = map_batches(rows, run, "doc_id long, quality int, terms binary")
     # an id may have several rows: the bound holds for rows
     got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "terms").limit(max_labelled).collect()
     if not got:
@@ -197,7 +197,7 @@ def scores(docs: DataFrame, model: Model | None, neighbours: int = NEIGHBOURS) -
                 out[at : at + BLOCK] = vote(_project(counts, m.idf, m.axes), m, neighbours)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:

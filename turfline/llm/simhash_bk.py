@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingle_sets
-from .common import byte_slices, cleared, small_side, staged, step, texts_as_bytes, without_ids
+from .common import byte_slices, cleared, map_batches, small_side, staged, step, texts_as_bytes, without_ids
 
 SHINGLE = 3
 RADIUS = 3
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(t, shingle) for t in texts_as_bytes(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
 
 
 class BKTree:
@@ -202,7 +202,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) ->
         dealt = dealt.unionByName(more)
     # a tree's own values come first, then its queries pass by one at a time
     dealt = dealt.repartition(*key).sortWithinPartitions(*key, F.desc("in_tree"), "fp")
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_batches(dealt, run, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

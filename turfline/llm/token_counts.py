@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import bpe
-from .common import byte_slices, texts_as_str
+from .common import byte_slices, map_batches, texts_as_str
 
 CHUNK = 32_768
 OVERLAP = 512
@@ -103,4 +103,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                 [batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, byte_slices, fold, texts_as_bytes
+from .common import WordHasher, byte_slices, fold, map_batches, texts_as_bytes
 
 BITS = 22
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 0.5
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, max_training: int =
             yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(packed, pa.binary())], ["order", "doc_id", "toxic", "packed"])
 
     # an id may have several rows: the bound holds for rows, and what is dealt to one task are features
-    rows = rows.mapInArrow(features, "order long, doc_id long, toxic int, packed binary").orderBy("order", "doc_id", "toxic", "packed").limit(max_training)
+    rows = map_batches(rows, features, "order long, doc_id long, toxic int, packed binary").orderBy("order", "doc_id", "toxic", "packed").limit(max_training)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, max_training: int =
         if examples:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w), pa.array(np.full(len(at), bias))], ["bucket", "weight", "bias"])
 
-    got = rows.repartition(1).mapInArrow(run, "bucket long, weight double, bias double").collect()
+    got = map_batches(rows.repartition(1), run, "bucket long, weight double, bias double").collect()
     at = np.array([r.bucket for r in got if r.bucket >= 0], np.uint32)
     w = np.array([r.weight for r in got if r.bucket >= 0])
     return at, w, got[0].bias if got else NOTHING_KNOWN
@@ -149,7 +149,7 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> Data
                 out[k] = 1.0 / (1.0 + np.exp(-np.clip(table[hit].astype(float).sum() + bias, -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, threshold: float = THRESHOLD, max_training: int = MAX_TRAINING) -> DataFrame:
