@@ -65,13 +65,29 @@ def step(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataF
         return keep(make(), name)
 
 
+@contextmanager
+def _shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """What a write within shuffles is deleted when the write is done, not when the driver's garbage happens to be collected."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back."""
     spark = df.sparkSession
     path = staging_path(spark, name)
     if _written:
         _written[-1].append(path)
-    df.write.parquet(path)
+    with _shuffles_released(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
