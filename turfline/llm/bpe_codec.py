@@ -54,11 +54,13 @@ def _lists(arrays: list[np.ndarray], kind: type) -> pa.Array:
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), np.concatenate([np.zeros(0, kind), *arrays]))
 
 
+#: Bytes of text that are encoded, and decoded again, at once: their ids take many times that room.
+ENCODE_BYTES = 1 << 20
 ENCODED = "doc_id long, n_bytes long, ids array<int>, ends array<long>"
 
 
 def _encoding(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in byte_slices(batches):
+    for batch in byte_slices(batches, limit=ENCODE_BYTES):
         ids = [np.array(c.encode(t), np.int32) for t in texts_as_str(batch)]
         ends = [np.cumsum(c.lengths[x]) for x in ids]
         n_bytes = np.array([x[-1] if len(x) else 0 for x in ends], np.int64)

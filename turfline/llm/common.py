@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -135,15 +136,31 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             at = stop
 
 
+def give_back() -> None:
+    """Return this process's free memory to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow, its batches bounded by bytes as well as by rows: 10,000 long texts at once would fill a worker.
 
     The bound is a setting of the session, which is read when the plan runs: it stays, unless the session has one of its own.
+    Workers outlive their tasks, so each task hands its free memory back at its end.
     """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(key, None) is None:
         conf.set(key, str(SLICE_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy, schema)
 
 
 def whole_text(column: str = "text") -> Column:

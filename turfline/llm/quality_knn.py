@@ -32,7 +32,7 @@ WORD_WEIGHT = 0.3
 DIMS = 48
 MAX_LABELLED = 4096
 NEIGHBOURS = 15
-BLOCK, FIT_BLOCK = 512, 256
+BLOCK, FIT_BLOCK = 128, 256
 THRESHOLD = 0.7
 
 #: Classes of bytes: 0 other, 1 lower case or above 127, 2 upper case, 3 digit, 4 blank, 5 line end, 6 , . ; : ' - 7 ! ? 8 symbols
