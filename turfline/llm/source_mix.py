@@ -48,9 +48,9 @@ def targets(sized: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE,
     whole = F.sum("source_size").over(Window.partitionBy()) * total_share
     level = (whole - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     by = by.withColumn("level", level).withColumn("fits", F.col("cap") > F.col("weight") * F.col("level"))
-    # from the first source below its cap on, all are below it and share one level
-    shared = F.min(F.when(F.col("fits"), F.struct((F.col("cap") / F.col("weight")).alias("at"), F.col("level")))).over(Window.partitionBy())
-    by = by.withColumn("shared", shared["level"])
+    # from the first source below its cap on, all are below it and share its level, of sources that tie the greatest
+    shared = F.min(F.when(F.col("fits"), F.struct((F.col("cap") / F.col("weight")).alias("at"), (-F.col("level")).alias("under")))).over(Window.partitionBy())
+    by = by.withColumn("shared", -shared["under"])
     share = F.when(F.col("shared").isNull() | (F.col("cap") <= F.col("weight") * F.col("shared")), F.col("cap")).otherwise(F.col("weight") * F.col("shared"))
     return by.select("source", "source_size", share.alias("target"))
 
