@@ -115,3 +115,23 @@ def test_stage_removes_all_near_copies(spark):
     want = {c for _, c in brute(rows)}
     assert len(want) == len(rows) - 5
     assert {r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()} == want
+
+
+def test_sets_are_dealt_out_in_portions(spark, monkeypatch):
+    """However many pairs ask for a set, the sets that are sent at once are a share of all; the links stay the same."""
+    rng = random.Random(5)
+    sets = [(i, 20, sorted(rng.sample(range(22 if i < 6 else 60), 20))) for i in range(12)]
+    pairs = [(i, j) for i in range(12) for j in range(i + 1, 12)]
+    want = {(i, j) for i, j in pairs if 5 * len({*sets[i][2]} & {*sets[j][2]}) >= 4 * len({*sets[i][2]} | {*sets[j][2]})}
+    table_ = spark.createDataFrame(sets, "node long, n long, shingles array<long>")
+    asked, verified = [], shingle_sets.verified
+    monkeypatch.setattr(shingle_sets, "verified", lambda some, all_: asked.append(some.count()) or verified(some, all_))
+    found = shingle_sets.verified_links(spark.createDataFrame(pairs, "a long, b long"), table_, table_, least=300)
+    assert 0 < len(want) < len(pairs) and {(r.a, r.b) for r in found.collect()} == want
+    assert len(asked) == 9 and sum(asked) == len(pairs) and max(asked) < 20
+    rows = []
+    for base in range(6):
+        words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(rng.randint(40, 120))]
+        rows += [(base * 10 + k, " ".join("x" if rng.random() < 0.02 else w for w in words)) for k in range(4)]
+    found = simhash_bk.similar_groups(table(spark, rows), portion=400)
+    assert len(asked) > 11 and sorted((r.doc_id, r.component_id) for r in found.collect()) == sorted(brute(rows))

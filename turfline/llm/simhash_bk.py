@@ -250,7 +250,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tree_n
     return _named(slim, "fp", label)
 
 
-def similar_groups(docs: DataFrame, shingle: int = shingle_sets.SHINGLE, radius: int = RADIUS, tree_nodes: int = TREE_NODES, run_rows: int = shingle_sets.RUN, short_rows: int = shingle_sets.SHORT, elements: int = shingle_sets.ELEMENTS) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = shingle_sets.SHINGLE, radius: int = RADIUS, tree_nodes: int = TREE_NODES, run_rows: int = shingle_sets.RUN, short_rows: int = shingle_sets.SHORT, elements: int = shingle_sets.ELEMENTS, portion: int = shingle_sets.PORTION) -> DataFrame:
     """doc_id, node, component_id: one row per row of docs; groups are linked by a Jaccard similarity of 4/5 or more.
 
     The BK-trees over the fingerprints of the shingle sets come first: each of their links is compared exactly, as are
@@ -260,7 +260,7 @@ def similar_groups(docs: DataFrame, shingle: int = shingle_sets.SHINGLE, radius:
     """
     sets = staged(shingle_sets.sets_of(docs, majority, shingle).withColumn("row", F.monotonically_increasing_id()), "similar-sets")
     slim = sets.select("doc_id", "node")
-    nodes = staged(sets.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row"), F.count(F.lit(1)).alias("rows")), "similar-nodes")
+    nodes = staged(sets.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row"), F.min("n").alias("n"), F.count(F.lit(1)).alias("rows")), "similar-nodes")
     repeats = nodes.filter("rows > 1").select(F.col("node").alias("at"), F.col("row").alias("first"))
     # one row carries each set
     once = sets.join(small_side(repeats), F.col("node") == F.col("at"), "left").filter("first is null or first = row").select("node", "fp", "shingles")
@@ -271,14 +271,12 @@ def similar_groups(docs: DataFrame, shingle: int = shingle_sets.SHINGLE, radius:
     found = near.join(name("a"), "a").join(name("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
     same = nodes.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
 
-    def posted() -> DataFrame:
-        posts = staged(shingle_sets.posts_of(once), "similar-posts")
-        return shingle_sets.shared_posts(posts.select("n", "node", F.col("node").alias("c"), F.posexplode("prefix").alias("place", "h")))
-
     def linked(pairs: DataFrame) -> DataFrame:
-        return step(spark, lambda: shingle_sets.verified(pairs, once).filter("alike").select("a", "b"), "similar-joined")
+        return step(spark, lambda: shingle_sets.verified_links(pairs, once, nodes, portion), "similar-joined")
 
-    first = step(spark, posted, "similar-shared")
+    with cleared(spark) as keep:
+        first = shingle_sets.shared_prefixes(staged(shingle_sets.posts_of(once), "similar-posts"), keep, portion)
+    first = first.withColumn("c", F.col("node"))
     next_to = step(spark, lambda: shingle_sets.candidates(first, shingle_sets.chained, run_rows), "similar-next")
     pairs = found.unionByName(same).unionByName(next_to).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = staged(pairs, "similar-pairs")
