@@ -1,4 +1,5 @@
 import io
+import itertools
 import math
 
 import numpy as np
@@ -115,3 +116,23 @@ def test_ball_is_looked_for_where_it_is_expected(spark):
 
     out = stateful.observe_ball(table, look, 640, 360, C.Ball(roi_size=64)).orderBy("frame").collect()
     assert [(r.frame, r.x, r.source) for r in out] == [(f, 100.0 + 5 * f, "full" if f < 4 else "roi") for f in range(8)]
+
+
+def test_matching_solves_linked_boxes_alone(monkeypatch):
+    """As many pairs as can be, of least distance; boxes that nothing links take no part in each other's assignment."""
+    rng = np.random.default_rng(2)
+    sizes, assign = [], tracker.assign
+    monkeypatch.setattr(tracker, "assign", lambda cost: sizes.append(len(cost)) or assign(cost))
+    apart = np.array([[100.0 * k, 0, 100.0 * k + 10, 10] for k in range(60)])
+    assert tracker.match(apart, apart[::3] + 1, 0.8) == [(3 * k, k) for k in range(20)] and max(sizes, default=0) <= 2
+    for _ in range(40):
+        corner = rng.random((8, 2)) * 20
+        a, b = np.split(np.hstack([corner, corner + 4 + rng.random((8, 2)) * 6]), 2)
+        distance = 1 - tracker.overlap(a, b)
+        best = min(((-len(p := [(i, j) for i, j in enumerate(order) if distance[i, j] <= 0.8]), sum(distance[i, j] for i, j in p), p) for order in itertools.permutations(range(4))), key=lambda x: x[:2])
+        assert sorted(tracker.match(a, b, 0.8)) == best[2]
+    tracks = tracker.Tracks(C.Tracking())
+    tracks.step(apart, np.full(60, 0.9))
+    tracks.move(np.array([[1.0, 0, 5], [0, 1, 0]]))
+    again = tracker.Tracks(C.Tracking(), tracks.pack())
+    assert again.pack() == tracks.pack() and again.step(apart[:2] + 4, np.full(2, 0.9)) == [1, 2]
