@@ -136,3 +136,12 @@ def test_matching_solves_linked_boxes_alone(monkeypatch):
     tracks.move(np.array([[1.0, 0, 5], [0, 1, 0]]))
     again = tracker.Tracks(C.Tracking(), tracks.pack())
     assert again.pack() == tracks.pack() and again.step(apart[:2] + 4, np.full(2, 0.9)) == [1, 2]
+
+
+def test_outline_is_dealt_out_and_computed_once(spark):
+    h = [0.2, 0.001, 0.5, 0.0, 0.7, 0.3, 0.0, 0.0, 1.0]
+    rows = spark.createDataFrame([("c", f, h) for f in range(200)], "clip string, frame long, h array<double>").coalesce(1)
+    out = P.outline_in_image(rows, 3.0, 40.0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 2000 and plan.count("sort_array") + plan.count("array_sort(transform") == 1
+    assert out.select(F.spark_partition_id()).distinct().count() > 1

@@ -90,18 +90,25 @@ def outline_in_image(calibration: DataFrame, margin: float = 1.0, step: float =
     Points on the horizon go, and those on its far side: what lies there has a denominator of another sign than the
     median of the frame. Frames with fewer than three points have no outline.
     """
-    points = padded_boundary(calibration.sparkSession, margin, step, pitch).agg(F.array_sort(F.collect_list(F.struct("side", "seq", "x_m", "y_m"))).alias("points"))
-    rows = calibration.filter("h is not null").select("clip", "frame", G.mat_inv(F.col("h")).alias("inv")).crossJoin(F.broadcast(points))  # one row of points
+    spark = calibration.sparkSession
+    points = padded_boundary(spark, margin, step, pitch).agg(F.array_sort(F.collect_list(F.struct("side", "seq", "x_m", "y_m"))).alias("points"))
+    # a frame becomes many points: frames are dealt to all tasks first, however few bytes they are
+    rows = calibration.filter("h is not null").select("clip", "frame", "h").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "clip", "frame")
+    rows = rows.select("clip", "frame", G.mat_inv(F.col("h")).alias("inv")).crossJoin(F.broadcast(points))  # one row of points
 
     def place(p: Column) -> Column:
         at = G.project(F.col("inv"), p["x_m"], p["y_m"])
         return F.struct(p["side"].alias("side"), p["seq"].alias("seq"), at["x"].alias("x"), at["y"].alias("y"), G.denominator(F.col("inv"), p["x_m"], p["y_m"]).alias("w"))
 
+    def seen(placed: Column) -> Column:
+        """Those on the side of the median denominator, null for fewer than three."""
+        middle = G.let(F.sort_array(F.transform(placed, lambda p: p["w"])), lambda w: F.get(w, ((F.size(w) - 1) / 2).cast("int")) + F.get(w, (F.size(w) / 2).cast("int")))
+        kept = G.let(F.signum(middle), lambda side: F.filter(placed, lambda p: F.signum(p["w"]) == side))
+        return G.let(kept, lambda k: F.when(F.size(k) >= 3, k))
+
+    # one expression, whose parts are bound: what is named in steps is computed anew wherever it is used. The outer form keeps a copy out of a filter
     placed = F.filter(F.transform("points", place), lambda p: F.abs(p["w"]) > G.EPS)
-    rows = rows.select("clip", "frame", placed.alias("placed")).withColumn("ordered", F.array_sort(F.transform("placed", lambda p: p["w"])))
-    middle = F.get("ordered", ((F.size("ordered") - 1) / 2).cast("int")) + F.get("ordered", (F.size("ordered") / 2).cast("int"))
-    rows = rows.withColumn("side_of", F.signum(middle)).select("clip", "frame", F.filter("placed", lambda p: F.signum(p["w"]) == F.col("side_of")).alias("placed"))
-    rows = rows.filter(F.size("placed") >= 3).select("clip", "frame", F.explode("placed").alias("p"))
+    rows = rows.select("clip", "frame", F.explode_outer(G.let(placed, seen)).alias("p")).filter("p is not null")
     return rows.select("clip", "frame", "p.side", "p.seq", "p.x", "p.y")
 
 
